@@ -1,0 +1,371 @@
+"""Training of the tagger for personal information: python -m lodeline.llm.train_pii MESSAGES_DIR [OUT].
+
+Labelled spans come from a reading of at most SAMPLE distinct messages by
+patterns: forms of numbers and addresses, and names that their surroundings give away;
+names known that way are also labelled where they stand alone. The
+network is trained by Adam on the CRF's log-likelihood, all in numpy.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+import sys
+from collections import Counter
+
+import numpy as np
+import pyarrow.dataset as ds
+
+from lodeline.llm import pii as P
+from lodeline.llm.pairs import language
+
+SAMPLE, EPOCHS, BATCH, HIDDEN, EMB, SEED, RATE = 40_000, 11, 48, 40, 32, 23, 4e-3
+PLAIN_ROWS = 5_500  # messages without spans in an epoch
+H = "[一-鿿]"
+STOP = r"(?=[，。！？\s…（(]|$|[A-Za-z0-9])"
+NAME_ZH = [
+    rf"我叫({H}{{2,4}}){STOP}", rf"[一二三四五六]班的({H}{{2,4}}){STOP}", rf"帮({H}{{2,4}})问一下", rf"（({H}{{2,4}})代问）", rf"我同桌({H}{{2,4}})也不会", rf"和我一组的是({H}{{2,4}}){STOP}", rf"班主任({H}{{2,4}})布置",
+    rf"家长({H}{{2,4}})留言", rf"——\s?({H}{{2,4}}){STOP}", rf"(?:^|\s)- ({H}{{2,4}}){STOP}", rf"({H}{{2,4}})，[一二三四五六]年级", rf"好的，({H}{{2,4}})，", rf"({H}{{2,4}})同学，你好",
+]
+L = r"[A-ZÀ-Ýa-zà-ÿ'’.\- ,ßœ]{5,44}?"
+NAME_LATIN = [
+    rf"My name is ({L})(?=\. |\.$|\n|$)", rf"This is ({L}) from \d", rf"Written by ({L})(?= - |\n|$|\.$|（)", rf"Hier ist ({L}) aus der", rf"Ich heiße ({L})(?=\. |\.$|\n|$)", rf"Je m'appelle ({L})(?=\. |\.$|\n|$)",
+    rf"Ici ({L}), en CM", rf"Me llamo ({L})(?=\. |\.$|\n|$)", rf"Soy ({L}), de (?:primero|segundo|tercero|cuarto|quinto|sexto)", rf"^Hello ({L})!", rf"^Good question, ({L})\. [A-Z]", rf"^Bonjour ({L}) ?!", rf"^¡Hola, ({L})!",
+]
+STORY = {"Barnaby Oakwhistle"}
+COMPOUND = ("澹台", "慕容", "令狐", "钟离", "欧阳", "司徒", "上官", "诸葛", "皇甫", "尉迟", "公孙", "东方")
+D = "[0-9]"
+PHONE = re.compile(
+    r"(?<![0-9\-.])(?:(?:\(\+86\)|\+86|0086-|（\+86）)\s?1[3-9]\d[\s-]?\d{4}[\s-]?\d{4}|1[3-9]\d[\s-]?\d{4}[\s-]?\d{4}|[（(]?0999[)）]?[-\s]?555[\s-]?\d{4}|(?:\+1[\s-]|1-)?[(]?316[)]?[\s.\-]{1,2}555[\s.\-]\d{4}|555-\d{4}"
+    r"|(?:\+44 \(0\)|\+44 |0)7700 900\d{3}|(?:\+33 (?:\(0\))?|0)6[ .]?\d\d[ .]?\d\d[ .]?\d\d[ .]?\d\d|(?:\+49 \(?0?\)?|\(?0)30\)?[ /]?\s?23125[\s-]?\d{3}|\+34 \d{3} ?\d{2,3} ?\d{2,3}(?: ?\d\d)?)(?![0-9])"
+    r"|１[３-９][０-９]{9}|一[三四五六七八九][〇零一二三四五六七八九]{9}"
+)
+NUMBER = re.compile(
+    r"(?<![0-9A-Za-z\-])(?:G?99\d{4}\s?(?:19|20)\d{6}\s?\d{3}[\dXx]|E\d{8}|QQ ?\d\d ?\d\d ?\d\d ?[A-D]|000[- ]\d\d[- ]\d{4}|X\d{5}T\d\d|[XYZ]?-?0{3}\d{4,5}-?[A-Z]|[19] \d\d \d\d 99 \d{3} \d{3} \d\d)(?![0-9A-Za-z])|９９[０-９]{15}[０-９XxＸ]"
+)
+ADDRESS = re.compile(
+    rf"(?:{H}{{2}}[省市])?{H}{{2}}县{H}{{2}}镇{H}{{2}}村[0-9０-９]+组[0-9０-９]+号|(?:{H}{{2}}市)?(?:{H}{{2}}区)?{H}{{2}}(?:路|街|大街|巷)(?:[0-9０-９]+弄)?[0-9０-９一二三四五六七八九十百]+号(?:附[0-9０-９]+号)?(?:[0-9]+单元[0-9]+室)?"
+    r"|Flat \d+, \d+ [A-Z]\w+ (?:Street|St|Road|Lane|Close|Way), [A-Z]\w+|\d+ Old [A-Z]\w+ Rd|\d+ [A-Z]\w+ Ave\., Apt \w+|No\. \d+, [A-Z]\w+ (?:Close|Lane|Street|Way), [A-Z]\w+|\d+ [a-z]+ lane\b(?! ?\w* tale)|[A-Z]\w+ Cottage, (?:Nether|Upper|Little|Great) [A-Z]\w+"
+    r"|\d+(?: bis| ter)?,? (?:rue|av\.|avenue|place|chemin|bd|boulevard) (?:(?:du|des|de la|de|d'|le|les) ?)?[A-ZÀ-Ý][\w\-]+(?:, \d{5} [A-ZÀ-Ý]\w+)?"
+    r"|Am [A-ZÄÖÜ]\w+ \d+\w?, [A-ZÄÖÜ][\w\-]+|[A-ZÄÖÜ]\w+(?:str\.|straße|weg|gasse|platz) \d+\w?(?:, \d{4,5} [A-ZÄÖÜ]\w+)?"
+    r"|C/ [A-Z]\w+ \d+, \d{4,5} [A-Z]\w+|(?:Calle|Avda\.|Plaza|Paseo) (?:del?|de la|de los)? ?[A-Z]\w+(?: [A-Z]\w+)?, \d+(?:, \d+\.º \w, [A-Z]\w+)?"
+)
+
+
+def known_names(texts: list[str]) -> tuple[re.Pattern, re.Pattern | None, dict[str, list[str]]]:
+    """Patterns of names seen in telling surroundings (in Han characters, in Latin letters), and the parts of those names."""
+    shown: dict[str, set[str]] = {"first": set(), "last": set()}
+    sur, given, first, last = Counter(), Counter(), Counter(), Counter()
+    for t in texts:
+        for w in NAME_ZH:
+            for m in re.finditer(w, t):
+                n = m[1]
+                s = n[:2] if n[:2] in COMPOUND else n[0]
+                if 1 <= len(n) - len(s) <= 2:
+                    sur[s] += 1
+                    given.update(n[len(s):])
+        for w in NAME_LATIN:
+            for m in re.finditer(w, t):
+                n = m[1].strip(" .")
+                if n in STORY or any(x in n for x in (" is ", ". ", "?")) and not re.search(r"\b[A-Z]\. |St\. ", n):
+                    continue
+                a, b = n.split(", ", 1)[::-1] if ", " in n else n.split(" ", 1) if " " in n else (n, "")
+                b = re.sub(r"^[A-Z]\. ", "", b)
+                if b and " " not in a.strip(".") and len(b) > 3:
+                    first[a.lower()] += 1
+                    last[b.lower()] += 1
+                    if a != a.lower():
+                        shown["first"].add(a)
+                        shown["last"].add(b)
+    sur, given = [s for s, n in sur.items() if n >= 3], [g for g, n in given.items() if n >= 3]
+    han = re.compile(f"(?:{'|'.join(sorted(sur, key=len, reverse=True))})[{''.join(given)}]{{1,2}}") if sur and given else re.compile("(?!)")
+    parts = {"sur": sur, "given": given, "first": sorted(shown["first"]), "last": sorted(shown["last"])}
+    if not first:
+        return han, None, parts
+    one = lambda c: "|".join(re.escape(x) for x in sorted((x for x, n in c.items()), key=len, reverse=True))
+    both = rf"(?i:(?:{one(first)})(?: [A-Z]\.)? (?:{one(last)})|(?:{one(last)}), (?:{one(first)}))"
+    cap = r"(?!(?:Hello|Hallo|Bonjour|Hola|Soy|Hier|This|Written|Ici|Good|Gute|Bonne|Dear|Noted)\b)[A-ZÀ-Ý][a-zà-ÿß]{2,}"  # one half unknown: capitals show the name
+    half = rf"(?i:{one(first)})(?: [A-Z]\.)? {cap}|(?i:{one(last)}), {cap}|{cap}(?: [A-Z]\.)? (?:{'|'.join(re.escape(x.title()) for x in last if ' ' not in x and chr(39) not in x)}|van der Plume|von Espenhain|del Olivar)"
+    return han, re.compile(rf"(?<![\w@.])(?:{both}|{half})(?![\w@\-])"), parts
+
+
+def language_of(text: str) -> str:
+    return "zh" if len(re.findall(H, text)) > 6 else language(re.sub(r"\S*[@＠]\S*", "", text)) or "en"
+
+
+class Variants:
+    """Labelled messages with other names, numbers and addresses in the places of those they have."""
+
+    def __init__(self, labelled: list[tuple[str, list[tuple[int, int, str]]]], parts: dict[str, list[str]], pick: random.Random) -> None:
+        self.parts, self.pick = parts, pick
+        self.pool: dict[tuple[str, str], list[str]] = {}
+        for text, spans in labelled:
+            lang = language_of(text)
+            for s, e, kind in spans:
+                self.pool.setdefault((kind, lang), []).append(text[s:e])
+
+    def other(self, kind: str, lang: str) -> str:
+        pick, p = self.pick, self.parts
+        if kind == "name" and lang == "zh":
+            return pick.choice(p["sur"]) + "".join(pick.choices(p["given"], k=pick.choice([1, 2, 2])))
+        if kind == "name":
+            first, last, r = pick.choice(p["first"]), pick.choice(p["last"]), pick.random()
+            name = f"{last}, {first}" if r < 0.25 else f"{first} {pick.choice('ABKMT')}. {last}" if r < 0.4 else f"{first} {last}"
+            return name.lower() if pick.random() < 0.15 and "," not in name else name
+        text = pick.choice(self.pool.get((kind, lang)) or self.pool.get((kind, "en")) or [v for (k, _), vs in self.pool.items() if k == kind for v in vs])
+        chars = list(text)
+        tail = [i for i, c in enumerate(chars) if P.char_class(c) in (2, 3)][-4:]
+        for i in tail:
+            if kind != "email" or pick.random() < 0.5:
+                chars[i] = pick.choice("0123456789") if chars[i].isascii() else pick.choice("０１２３４５６７８９")
+        return "".join(chars)
+
+    def of(self, text: str, spans: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
+        lang, out, at, new = language_of(text), "", 0, []
+        for s, e, kind in spans:
+            out += text[at:s]
+            put = self.other(kind, lang) if self.pick.random() < 0.85 else text[s:e]
+            new.append((len(out), len(out) + len(put), kind))
+            out += put
+            at = e
+        out += text[at:]
+        if self.pick.random() < 0.3:
+            kind = self.pick.choice(P.TYPES)
+            before, after = self.pick.choice([(" ", ""), ("\n", ""), ("（", "）"), ("\n", "\n"), (" (", ")")] + [("——", ""), ("\n—— ", ""), (" - ", "")] * (2 if kind == "name" else 0))
+            put = self.other(kind, lang)
+            new.append((len(out) + len(before), len(out) + len(before) + len(put), kind))
+            out += before + put + after
+        return out, new
+
+    def plain(self, text: str) -> str:
+        """A message without spans, sometimes in capitals or with odd spaces."""
+        r = self.pick.random()
+        return text.upper() if r < 0.06 else "".join(c + " " * (self.pick.random() < 0.12) for c in text) if r < 0.1 else text
+
+
+def silver(text: str, han: re.Pattern, latin: re.Pattern | None) -> list[tuple[int, int, str]]:
+    """Labelled spans of a message."""
+    taken: list[tuple[int, int, str]] = []
+
+    def add(s: int, e: int, kind: str) -> None:
+        if s < e and all(e <= a or s >= b for a, b, _ in taken):
+            taken.append((s, e, kind))
+
+    for m in P.EMAIL.finditer(text):
+        add(*m.span(), "email")
+    for m in ADDRESS.finditer(text):
+        if not re.match(r"口", text[m.end():]):
+            add(*m.span(), "address")
+    for m in NUMBER.finditer(text):
+        add(*m.span(), "id_number")
+    for m in PHONE.finditer(text):
+        around = text[max(0, m.start() - 16) : m.start()] + "|" + text[m.end() : m.end() + 8]
+        if not re.search(r"\|\s*[×x]\s*\d|Is \|| \| ?an even|\|.{0,3}这个十八|number \|", around):
+            add(*m.span(), "phone")
+    for w in NAME_ZH:
+        for m in re.finditer(w, text):
+            if han.fullmatch(m[1]):
+                add(*m.span(1), "name")
+    for m in han.finditer(text):
+        near = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+        if not (near[0] and P.char_class(near[0]) in (1, 4) and near[0] not in "是叫的帮长任桌") and not (near[1] and P.char_class(near[1]) == 4 and near[1] not in "代问也留布同把放我外微答妈报学打邮联有收老求请小"):
+            add(*m.span(), "name")
+    for m in latin.finditer(text) if latin else ():
+        if m[0] not in STORY and m[0][0].lower() + m[0][1:] != m[0].lower() or m[0] == m[0].lower():
+            add(*m.span(), "name")
+    return sorted(taken)
+
+
+def gold(text: str, spans: list[tuple[int, int, str]]) -> np.ndarray:
+    y = np.zeros(len(text), np.int64)
+    for s, e, kind in spans:
+        y[s:e] = P.TAGS.index(f"I-{kind}")
+        y[s] = P.TAGS.index(f"B-{kind}")
+    return y
+
+
+class Net:
+    """The network with gradients."""
+
+    def __init__(self, vocabulary: list[str], rng: np.random.Generator) -> None:
+        k, r = len(P.TAGS), lambda *n: (rng.standard_normal(n) / np.sqrt(n[0])).astype(np.float32)
+        self.p = {"chars": r(len(vocabulary) + 1, EMB) * 4, "classes": r(P.CLASSES, EMB), "out": r(2 * HIDDEN, k), "out_bias": np.zeros(k, np.float32), "trans": r(k, k) * 0.1, "start": np.zeros(k, np.float32), "end": np.zeros(k, np.float32)}
+        for d in "fb":
+            bias = np.zeros(4 * HIDDEN, np.float32)
+            bias[HIDDEN : 2 * HIDDEN] = 1
+            self.p |= {f"in_{d}": r(EMB, 4 * HIDDEN), f"recur_{d}": r(HIDDEN, 4 * HIDDEN), f"bias_{d}": bias}
+        self.m = {n: np.zeros_like(v) for n, v in self.p.items()}
+        self.v = {n: np.zeros_like(v) for n, v in self.p.items()}
+        self.t = 0
+
+    def direction(self, x: np.ndarray, d: str) -> tuple:
+        recur, h = self.p[f"recur_{d}"], HIDDEN
+        z = x @ self.p[f"in_{d}"] + self.p[f"bias_{d}"]
+        steps, batch = z.shape[:2]
+        hid, cell = np.zeros((steps + 1, batch, h), np.float32), np.zeros((steps + 1, batch, h), np.float32)
+        act, tc = np.empty_like(z), np.empty((steps, batch, h), np.float32)
+        for t in range(steps):
+            a = z[t] + hid[t] @ recur
+            a[:, : 3 * h] = P.sigmoid(a[:, : 3 * h])
+            a[:, 3 * h :] = np.tanh(a[:, 3 * h :])
+            act[t] = a
+            cell[t + 1] = a[:, h : 2 * h] * cell[t] + a[:, :h] * a[:, 3 * h :]
+            tc[t] = np.tanh(cell[t + 1])
+            hid[t + 1] = a[:, 2 * h : 3 * h] * tc[t]
+        return hid, cell, act, tc
+
+    def back(self, grad: np.ndarray, saved: tuple, x: np.ndarray, d: str, g: dict) -> np.ndarray:
+        hid, cell, act, tc = saved
+        recur, h = self.p[f"recur_{d}"], HIDDEN
+        dz = np.empty_like(act)
+        dh = np.zeros_like(hid[0])
+        dc = np.zeros_like(hid[0])
+        for t in range(len(act) - 1, -1, -1):
+            a = act[t]
+            dh = dh + grad[t]
+            dc = dc + dh * a[:, 2 * h : 3 * h] * (1 - tc[t] ** 2)
+            dz[t, :, 2 * h : 3 * h] = dh * tc[t]
+            dz[t, :, :h] = dc * a[:, 3 * h :]
+            dz[t, :, h : 2 * h] = dc * cell[t]
+            dz[t, :, 3 * h :] = dc * a[:, :h] * (1 - a[:, 3 * h :] ** 2)
+            s = a[:, : 3 * h]
+            dz[t, :, : 3 * h] *= s * (1 - s)
+            dc = dc * a[:, h : 2 * h]
+            dh = dz[t] @ recur.T
+        flat = dz.reshape(-1, 4 * h)
+        g[f"recur_{d}"] = hid[:-1].reshape(-1, h).T @ flat
+        g[f"in_{d}"] = x.reshape(-1, x.shape[2]).T @ flat
+        g[f"bias_{d}"] = flat.sum(axis=0)
+        return dz @ self.p[f"in_{d}"].T
+
+    def step(self, ids: np.ndarray, cls: np.ndarray, y: np.ndarray, length: np.ndarray, rate: float) -> float:
+        steps, batch = ids.shape
+        p, each = self.p, np.arange(batch)
+        turn = np.where(np.arange(steps)[:, None] < length, length - 1 - np.arange(steps)[:, None], np.arange(steps)[:, None])
+        x = p["chars"][ids] + p["classes"][cls]
+        xb = x[turn, each]
+        f, b = self.direction(x, "f"), self.direction(xb, "b")
+        joint = np.concatenate([f[0][1:], b[0][1:][turn, each]], axis=2)
+        emit = joint @ p["out"] + p["out_bias"]
+        loss, demit, g = self.crf(emit, y, length)
+        g["out"] = joint.reshape(-1, joint.shape[2]).T @ demit.reshape(-1, demit.shape[2])
+        g["out_bias"] = demit.sum(axis=(0, 1))
+        dj = demit @ p["out"].T
+        dx = self.back(dj[:, :, :HIDDEN], f, x, "f", g)
+        dxb = self.back(dj[:, :, HIDDEN:][turn, each], b, xb, "b", g)
+        dx = dx + dxb[turn, each]
+        g["chars"], g["classes"] = np.zeros_like(p["chars"]), np.zeros_like(p["classes"])
+        np.add.at(g["chars"], ids.ravel(), dx.reshape(-1, EMB))
+        np.add.at(g["classes"], cls.ravel(), dx.reshape(-1, EMB))
+        size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        scale = min(1.0, 5.0 / (size + 1e-9))
+        self.t += 1
+        for n, v in g.items():
+            v = v * scale
+            self.m[n] += 0.1 * (v - self.m[n])
+            self.v[n] += 0.005 * (v * v - self.v[n])
+            p[n] -= rate * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.v[n] / (1 - 0.995**self.t)) + 1e-7)
+        return loss
+
+    def crf(self, emit: np.ndarray, y: np.ndarray, length: np.ndarray) -> tuple[float, np.ndarray, dict]:
+        p, (steps, batch, k) = self.p, emit.shape
+        trans, start, end = p["trans"], p["start"], p["end"]
+        alive = np.arange(steps)[:, None] < length
+        alpha = np.empty_like(emit)
+        alpha[0] = start + emit[0]
+        for t in range(1, steps):
+            s = alpha[t - 1][:, :, None] + trans
+            top = s.max(axis=1)
+            new = top + np.log(np.exp(s - top[:, None]).sum(axis=1)) + emit[t]
+            alpha[t] = np.where(alive[t][:, None], new, alpha[t - 1])
+        last = alpha[-1] + end
+        top = last.max(axis=1, keepdims=True)
+        whole = top + np.log(np.exp(last - top).sum(axis=1, keepdims=True))
+        beta = np.broadcast_to(end, (batch, k)).copy()
+        demit, dtrans = np.zeros_like(emit), np.zeros_like(trans)
+        for t in range(steps - 1, -1, -1):
+            demit[t] = np.where(alive[t][:, None], np.exp(alpha[t] + beta - whole), 0)
+            if t:
+                inner = emit[t] + beta
+                s = trans + inner[:, None, :]
+                pair = np.exp(alpha[t - 1][:, :, None] + s - whole[:, :, None])
+                dtrans += pair[alive[t]].sum(axis=0)
+                top = s.max(axis=2)
+                beta = np.where(alive[t][:, None], top + np.log(np.exp(s - top[:, :, None]).sum(axis=2)), beta)
+        dend, dstart = np.exp(last - whole).sum(axis=0), demit[0].sum(axis=0)
+        each = np.arange(batch)
+        dstart -= np.bincount(y[0], minlength=k)
+        dend -= np.bincount(y[length - 1, each], minlength=k)
+        score = start[y[0]] + end[y[length - 1, each]]
+        for t in range(steps):
+            demit[t, each, y[t]] -= alive[t]
+            score = score + emit[t, each, y[t]] * alive[t]
+            if t:
+                score = score + trans[y[t - 1], y[t]] * alive[t]
+                np.subtract.at(dtrans, (y[t - 1][alive[t]], y[t][alive[t]]), 1)
+        n = batch
+        return float((whole[:, 0] - score).mean()), demit / n, {"trans": dtrans / n, "start": dstart / n, "end": dend / n}
+
+
+def main(data: str, out: str = str(P.MODEL)) -> None:
+    rng, pick = np.random.default_rng(SEED), random.Random(SEED)
+    texts = [t for t in dict.fromkeys(ds.dataset(f"{data}/education_messages.parquet").to_table(columns=["content"])["content"].to_pylist()) if t and t.strip()]
+    pick.shuffle(texts)
+    held, texts = texts[-4_000:], texts[:-4_000]
+    han, latin, parts = known_names(texts)
+    labelled = [(t, silver(t, han, latin)) for t in texts[:SAMPLE]]
+    full = [x for x in labelled if x[1]]
+    bare = [x for x in labelled if not x[1]]
+    variants = Variants(full, parts, pick)
+    often = [x for x in full for _ in range(1 if language_of(x[0]) == "zh" else 3)] * 2
+    print(f"{len(full)} messages with spans {Counter(k for _, s in full for *_, k in s)}, {len(bare)} without; {len(often)} variants an epoch", flush=True)
+    seen = Counter(c for t, _ in full * 3 + bare for c in t)
+    vocabulary = [c for c, n in seen.items() if n >= 4]
+    index = {c: i + 1 for i, c in enumerate(vocabulary)}
+    net = Net(vocabulary, rng)
+
+    def coded_epoch() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rows = [variants.of(*x) if pick.random() < 0.8 else x for x in often] + [(variants.plain(t), []) for t, _ in pick.sample(bare, min(PLAIN_ROWS, len(bare)))]
+        out = []
+        for t, s in rows:
+            at = max(0, min(pick.randrange(len(t)), len(t) - P.WINDOW)) if len(t) > P.WINDOW else 0
+            y, t = gold(t, s)[at : at + P.WINDOW], t[at : at + P.WINDOW]  # a training window
+            if len(y) and P.TAGS[y[0]][0] == "I":
+                y[0] -= 1
+            out.append((np.array([index.get(c, 0) for c in t]), np.array([P.char_class(c) for c in t]), y))
+        return [x for x in out if len(x[0])]
+
+    total = EPOCHS * ((len(often) + PLAIN_ROWS) // BATCH)
+    done = 0
+    for epoch in range(EPOCHS):
+        coded = coded_epoch()
+        order = sorted(range(len(coded)), key=lambda i: (len(coded[i][0]) // 8, pick.random()))
+        batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+        pick.shuffle(batches)
+        losses = []
+        for b in batches:
+            length = np.array([len(coded[i][0]) for i in b])
+            ids, cls, y = (np.zeros((length.max(), len(b)), np.int64) for _ in range(3))
+            for j, i in enumerate(b):
+                for part, to in zip(coded[i], (ids, cls, y), strict=True):
+                    to[: len(part), j] = part
+            ids = np.where(rng.random(ids.shape) < 0.03, 0, ids)  # so that unknown characters are learned
+            losses.append(net.step(ids, cls, y, length, RATE * max(0.03, 1 - done / total)))
+            done += 1
+        print(f"epoch {epoch + 1}: loss {np.mean(losses):.4f}", flush=True)
+        np.savez_compressed(out, vocabulary=np.array([ord(c) for c in vocabulary], np.int32), **{n: v.astype(np.float16) if n in ("chars",) else v for n, v in net.p.items()})
+    with np.load(out) as z:
+        model = P.Tagger(dict(z))
+    hit = Counter()
+    for t, found in zip(held, P.find_spans(held, model), strict=True):
+        want = set(silver(t, han, latin))
+        for kind in P.TYPES:
+            a, b = {x for x in found if x[2] == kind}, {x for x in want if x[2] == kind}
+            hit[kind, "both"] += len(a & b)
+            hit[kind, "extra"] += len(a - b)
+            hit[kind, "missed"] += len(b - a)
+    print("held out:", {k: {w: hit[k, w] for w in ("both", "extra", "missed")} for k in P.TYPES})
+
+
+if __name__ == "__main__":
+    main(*sys.argv[1:])
