@@ -38,6 +38,9 @@ ITEM = re.compile(r"\s*(?P<mark>[-–—•*·◦▪●○■□]|(?P<open>[（(
 WORD_LEFT = re.compile(r"[^\s“”„«»\"'‘’（）()\[\]【】《》「」『』。！？!?…,，;；:：、]*$")
 WORD_RIGHT = re.compile(r"[^\s.!?。！？…,，;；:：“”„«»\"'‘’（）()、।؟]+")
 DIGITS = re.compile(r"\d+")
+NEXT = re.compile(r"\S")
+LINE = re.compile(r"[^\r\n]+")
+BREAK = re.compile(r"\r\n|\r|\n")
 
 
 GLUED = re.compile(r"(?:[^\W_]{3,}|\d)[.!?]+([^\W\d_].*)$")
@@ -136,9 +139,10 @@ def places(text: str) -> list[tuple[int, list[str]]]:
 
 
 def _features(text: str, s: int, e: int, kind: str, inside: bool, back: dict[int, int], last: int) -> list[str]:
-    after = text[e:]
-    rest = after.lstrip()
-    gap = "n" if "\n" in after[: len(after) - len(rest)] else "s" if len(rest) < len(after) else "-"
+    shown = NEXT.search(text, e)
+    at = shown.start() if shown else len(text)
+    rest = text[at : at + 40]
+    gap = "n" if "\n" in text[e:at] else "s" if at > e else "-"
     right = _shape(rest[:1]) + (_shape(rest[1:2]) if rest[:1].isalpha() and rest[:1].isascii() else "")
     if kind == "space":
         left, ahead = DIGITS.sub("0", text[max(last, e - 14) : e]), DIGITS.sub("0", rest[:14])
@@ -161,7 +165,7 @@ def _features(text: str, s: int, e: int, kind: str, inside: bool, back: dict[int
     out = ["E", f"E in{inside}", f"E{ends}", f"E{ends}|{gap}|{right}", f"E{ends}|{length}", f"E{ends}|{length}|{right}"]
     if closed:
         o = closed[-1]
-        led = text[:o].rstrip()[-1:]
+        led = text[max(0, o - 40) : o].rstrip()[-1:]
         opening = "^" if not text[last:o].strip() else ":" if led in ":：," else "，" if led in "，、" else "w"
         many = "2" if s - o > 0 and any(c in END for c in text[o:s]) else "1"
         out += [f"Q{text[e - 1]}{opening}", f"Q{text[o]}{opening}|{right[:1]}", f"Q{opening}{gap}{right}", f"Q{opening}|{ahead}", f"Q{opening}{many}", f"Q{mark[-1] in END}{opening}"]
@@ -225,13 +229,29 @@ def _kind(m: re.Match | None) -> tuple[str, str] | None:
     return ("d" if m["no"].isdigit() else "a", m["open"] + m["close"])
 
 
+def _paragraphs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs of lines that aren't blank, as (start, end) of each line."""
+    held: list[tuple[int, int]] = []
+    for m in LINE.finditer(text):
+        if held and len(BREAK.findall(text, held[-1][1], m.start())) > 1:
+            yield held
+            held = []
+        if m[0].isspace():
+            if held:
+                yield held
+            held = []
+        else:
+            held.append(m.span())
+    if held:
+        yield held
+
+
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
     """Paragraphs and list items of a text: (start, end, is an item).
 
     A line starts an item if its paragraph's first line has a mark of the same kind, or if the line before ends in a colon.
     """
-    for m in re.finditer(r"[^\r\n]*\S[^\r\n]*(?:(?:\r\n|\r|\n)[^\r\n]*\S[^\r\n]*)*", text):
-        lines = [(m.start() + k.start(), m.start() + k.end()) for k in re.finditer(r"[^\r\n]+", m[0])]
+    for lines in _paragraphs(text):
         kinds = [_kind(ITEM.match(text, a, b)) for a, b in lines]
         listed, start, item = kinds[0], lines[0][0], kinds[0] is not None and (kinds[0][0] != "a" or len(lines) > 1 and kinds[0] in kinds[1:])
         if not item:
@@ -240,7 +260,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
             if kind and (kind == listed or listed is None and text[:prev].rstrip()[-1:] in ":：" and kinds.count(kind) > 1):
                 yield start, prev, item
                 start, item, listed = a, True, kind
-        yield start, m.end(), item
+        yield start, lines[-1][1], item
 
 
 def sentence_units(text: str) -> list[tuple[int, int]]:

@@ -34,7 +34,7 @@ BLOCK = regex.compile(r"\n[^\S\n]*\n\s*")
 LINE = regex.compile(r"\n+")
 SENTENCE = regex.compile(r"""(?:[。！？｡．…؟।॥]+|[.!?]+(?=[\s"'”’」』»)\]）]))["'”’」』»)\]）]*\s*""")
 CLAUSE = regex.compile(r"""[,;:，、；：،؛—–]+["'”’」』»)\]）]*\s*""")
-WORD = regex.compile(r"[^\s\p{P}\p{Z}]*[\s\p{P}\p{Z}]+")
+WORD = regex.compile(r"[\s\p{P}\p{Z}]+")
 RUN = regex.compile(r"[^\s\p{P}\p{Z}]+")
 
 OUT = ("piece_no", "start_pos", "end_pos", "shared_chars", "cut_kind", "piece")
@@ -79,6 +79,8 @@ def _units(text: str, s: int, e: int, level: int, limit: int, most: int) -> list
 
 def _leaf(text: str, s: int, e: int, limit: int, most: int) -> list[tuple[int, int, bool]]:
     """A run without separators, maybe with separators behind it."""
+    if e - s <= most:
+        return [(s, e, False)]
     run = RUN.match(text, s, e)
     mid = run.end() if run else s
     out: list[tuple[int, int, bool]] = []

@@ -149,7 +149,7 @@ def train(chains: list[tuple[list[list[str]], list[int], list[int]]]) -> dict[st
                         if not t:
                             continue
                         near = S._near(gaps[i]) + feats[i][2]
-                        for f in [*feats[i], *([f"T{tags[i - 1]}1{near}"] if i else [])]:
+                        for f in [*feats[i], *([f"T{tags[i - 1]}1{near}"] if i and not set(feats[i][2]) & set(S.STRONG) else [])]:
                             w[f] += sign
                             total[f] += sign * step
             step += 1
