@@ -62,12 +62,14 @@ def pack(df: DataFrame, id_col: str, size: Column, capacities: DataFrame, group_
     An empty table gives no rows; columns besides id and size are left out.
     """
     items = df.select(df[id_col].alias("doc_id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    groups = F.broadcast(items.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / group_items)).cast("int").alias("groups")))
-    caps = F.broadcast(capacities.select("capacity_id", F.col("capacity_tokens").cast("long").alias("capacity")).filter("capacity > 0").distinct())
+    groups = max(1, -(-items.count() // group_items))
+    # container_sizes is declared by hand, a few rows
+    declared = sorted({(r.capacity_id, int(r.capacity_tokens)) for r in capacities.select("capacity_id", "capacity_tokens").limit(1000).collect() if r.capacity_tokens and r.capacity_tokens > 0})
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("capacity_id"), F.lit(c).cast("long").alias("capacity")) for i, c in declared or [(0, 1)]]))
     salted = (
-        items.crossJoin(groups).crossJoin(caps)  # one row, and the few declared capacities
+        (items if declared else items.limit(0)).select("doc_id", "size", each.alias("c")).select("doc_id", "size", "c.*")
         .withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity"))).cast("int"))
-        .withColumn("group_no", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("groups")).cast("int"))
+        .withColumn("group_no", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(groups)).cast("int"))
         .withColumn("rest", F.col("size") - (F.col("parts") - 1) * F.col("capacity"))
         .select("capacity_id", "capacity", "group_no", "doc_id", "parts", "rest")
     )
