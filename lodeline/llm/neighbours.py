@@ -1,8 +1,9 @@
 """Problem 3: the k most similar vectors for every vector.
 
-Method: randomly rotated one-bit codes. Vectors are assigned to cells around
-centroids fitted on a bounded sample; within a cell each vector is kept as the
-packed signs of its rotated residual with two correction scalars. Inner
+Method: randomly rotated one-bit codes. A scope that fits into a block is one
+cell; the vectors of a larger one are assigned to cells of its own, around
+centroids fitted on a bounded sample of it. Within a cell each vector is kept as
+the packed signs of its rotated residual with two correction scalars. Inner
 products are estimated from the bits and a 4-bit query, and an error bound
 tells which vectors must be compared exactly.
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Bound of the sample that the centroids are fitted on (vectors), rows aimed at for a cell, and most rows of a block of a hot cell.
+#: Bound of the sample that the centroids are fitted on (vectors), rows aimed at for a cell, and most rows of a block of a hot cell; scopes up to a block are searched whole.
 SAMPLE, CELL_ROWS, BLOCK_ROWS = 32_768, 2_048, 8_192
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 1.9
@@ -157,8 +158,47 @@ def search_block(data: np.ndarray, query: np.ndarray, same: np.ndarray, centre:
 
 
 def probes_of(cells: int) -> int:
-    """Cells searched for each vector: 4 up to 64 cells, two more with each doubling."""
-    return min(cells, max(4, math.ceil(2 * math.log2(max(cells, 1))) - 8))
+    """Cells of a scope searched for each vector: 6 up to 64 cells, two more with each doubling."""
+    return min(cells, max(6, math.ceil(2 * math.log2(max(cells, 1))) - 6))
+
+
+def probed(at: np.ndarray, rows: np.ndarray, centre: np.ndarray, counts: np.ndarray, probes: int | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell and whether it is the row's home, for each cell that a row of a scope searches: the nearest `probes`, and more of them where these hold fewer than k others."""
+    n = min(len(centre), probes or probes_of(len(centre)))
+    cell = nearest(rows, centre, n)
+    out = [(np.repeat(at, n), cell.ravel(), np.tile(np.arange(n) == 0, len(at)))]
+    for i in np.flatnonzero(counts[cell].sum(axis=1) <= k):
+        order = nearest(rows[i : i + 1], centre, len(centre))[0]
+        more = order[n : np.searchsorted(np.cumsum(counts[order]), k, "right") + 1]
+        out.append((np.repeat(at[i], len(more)), more, np.zeros(len(more), bool)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _fit(base: DataFrame, sizes: dict[str, int], cells: int | None, dim: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Centroids of each scope in `sizes`, and how many different vectors have each of its cells as their home."""
+    share = min(1.0, SAMPLE / sum(sizes.values()))
+    spark = base.sparkSession
+    base = base.join(F.broadcast(spark.createDataFrame([(s,) for s in sizes], "scope string")), "scope", "left_semi")
+    drawn = base.filter(F.pmod("h1", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).groupBy("scope", "h1", "h2").agg(F.first("vec").alias("vec")).select("scope", "vec").toArrow()
+    scopes = np.array(drawn["scope"].to_pylist(), object)
+    sample = unit(np.array(drawn["vec"].combine_chunks().flatten(), np.float32).reshape(-1, dim)).astype(np.float32) if len(drawn) else np.zeros((0, dim), np.float32)
+    centres = {s: fit_centroids(sample[scopes == s], max(1, min(cells or round(n / CELL_ROWS), int((scopes == s).sum()) // 16))) for s, n in sizes.items()}
+    shared = spark.sparkContext.broadcast(centres)
+
+    def homes(batches):
+        for b in batches:
+            scope = b["scope"].dictionary_encode()
+            of, cell = np.array(scope.indices), np.zeros(len(b), np.int64)
+            raw = np.array(b["vec"].flatten(), np.float32).reshape(-1, dim)
+            for i, s in enumerate(scope.dictionary.to_pylist()):
+                cell[of == i] = nearest(unit(raw[of == i]).astype(np.float32), shared.value[s], 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([b["scope"], pa.array(cell, pa.int32()), b["h1"], b["h2"]], names=["scope", "cell", "h1", "h2"])
+
+    counts = {s: np.zeros(len(c), np.int64) for s, c in centres.items()}
+    found = base.select("scope", "h1", "h2", "vec").mapInArrow(homes, "scope string, cell int, h1 long, h2 long").distinct().groupBy("scope", "cell").count()
+    for r in found.collect():
+        counts[r.scope][r.cell] = r["count"]
+    return centres, counts
 
 
 def nearest_vectors(df: DataFrame, scope_col: str, id_col: str, vec_col: str, dim: int = 64, k: int = 5, min_cosine: float = -1.0, cells: int | None = None, probes: int | None = None) -> DataFrame:
@@ -167,7 +207,8 @@ def nearest_vectors(df: DataFrame, scope_col: str, id_col: str, vec_col: str, di
     Vectors that are null, of another length than dim, not finite or all zero take no part; null scopes form a scope of their own, rows with a null id are left out. Repeated rows (same
     id and vector) count once. Cosines below min_cosine are left out. Equal cosines are ranked by id; between different vectors at exactly the k-th cosine within a cell the choice is by place.
     Copies of a vector are each other's neighbours at cosine 1. A scope with k others or fewer gives what there is; an empty table gives no rows. Columns besides the three are left out.
-    Approximate: `probes` of `cells` cells are searched (default by size of the table); with one cell the result differs from brute force only where the error bound fails.
+    Approximate in scopes of more than BLOCK_ROWS different vectors, of which `probes` of `cells` cells are searched (default by size of the scope) and further ones, nearest first, while they hold
+    fewer than k others. Smaller scopes are one cell, where the result differs from brute force only where the error bound fails. With `cells` given, scopes of up to 16 vectors a cell are one cell.
     """
     spark = df.sparkSession
     base = (
@@ -175,45 +216,39 @@ def nearest_vectors(df: DataFrame, scope_col: str, id_col: str, vec_col: str, di
         .filter(is_usable(F.col("vec"), dim) & F.col("id").isNotNull())
         .withColumn("h1", F.xxhash64(F.lit(1), "vec")).withColumn("h2", F.xxhash64(F.lit(2), "vec"))
     )
-    n = base.count()
-    cells = cells or max(1, min(round(n / CELL_ROWS), SAMPLE // 16))
-    probes = min(cells, probes or probes_of(cells))
-    share = min(1.0, SAMPLE / max(n, 1))
-    drawn = base.filter(F.pmod("h1", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).groupBy("scope", "h1", "h2").agg(F.first("vec").alias("vec")).select("scope", "vec").toArrow()
-    sample = unit(np.array(drawn["vec"].combine_chunks().flatten(), np.float32).reshape(-1, dim)).astype(np.float32) if len(drawn) else np.zeros((0, dim), np.float32)
-    centre, turn = fit_centroids(sample, cells), rotation(dim)
-    cells, probes = len(centre), min(probes, len(centre))
-    blocks: dict[str, np.ndarray] = {}  # by the sample, blocks that a cell is cut into
-    scopes = np.array(drawn["scope"].to_pylist(), object)
-    home = nearest(sample, centre, 1)[:, 0] if len(sample) else np.zeros(0, np.int64)
-    for s in set(scopes):
-        blocks[s] = np.maximum(1, np.ceil(np.bincount(home[scopes == s], minlength=cells) / share / BLOCK_ROWS)).astype(np.int64)
-    shared = spark.sparkContext.broadcast((centre, turn, blocks))  # at most SAMPLE / 16 centroids
+    keys = base.select("scope", "h1", "h2").distinct()
+    whole = min(BLOCK_ROWS, 16 * cells) if cells else BLOCK_ROWS
+    sizes = {r.scope: r.n for r in keys.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole).collect()}  # at most one in `whole` vectors
+    turn = rotation(dim)
+    centres, counts = _fit(base, sizes, cells, dim) if sizes else ({}, {})
+    shared = spark.sparkContext.broadcast((centres, counts))  # at most SAMPLE / 16 centroids besides one for each of these scopes
 
     vectors = base.groupBy("scope", "h1", "h2").agg(F.first("vec").alias("vec"))
     placed_type = "scope string, cell int, block int, kind int, h1 long, h2 long, vec binary"
 
     def place(batches):
-        centre, _, blocks = shared.value
-        one = np.ones(len(centre), np.int64)
+        centres, counts = shared.value
         for b in batches:
             if not len(b):
                 continue
             raw = np.ascontiguousarray(np.array(b["vec"].flatten(), np.float32).reshape(-1, dim))
-            cell = nearest(unit(raw).astype(np.float32), centre, probes)
             h2 = np.array(b["h2"])
-            scope = b["scope"].to_pylist()
-            parts = np.stack([blocks.get(s, one) for s in scope])[np.arange(len(h2))[:, None], cell]
-            rows = []  # (row, cell, block, kind): kind 1 is searched, 2 searches, 3 both
-            for j in range(probes):
-                p = parts[:, j]
-                alone = np.flatnonzero(p == 1)
-                rows.append(np.stack([alone, cell[alone, j], 0 * alone, 0 * alone + (3 if j == 0 else 2)]))
-                for i in np.flatnonzero(p > 1):
-                    own, seek, many = int(h2[i] % p[i]), int((h2[i] >> 20) % p[i]), np.arange(p[i])
-                    rows.append(np.stack([0 * many + i, 0 * many + cell[i, j], many * p[i] + seek, 0 * many + 2]))
-                    if j == 0:
-                        rows.append(np.stack([0 * many + i, 0 * many + cell[i, j], own * p[i] + many, 0 * many + 1]))
+            scope = b["scope"].dictionary_encode()
+            names, of = scope.dictionary.to_pylist(), np.array(scope.indices)
+            large = [i for i, s in enumerate(names) if s in centres]
+            alone = np.flatnonzero(~np.isin(of, large))
+            rows = [np.stack([alone, 0 * alone, 0 * alone, 0 * alone + 3])]  # (row, cell, block, kind): kind 1 is searched, 2 searches, 3 both
+            for g in large:
+                at, cell, first = probed(np.flatnonzero(of == g), unit(raw[of == g]).astype(np.float32), centres[names[g]], counts[names[g]], probes, k)
+                parts = np.maximum(1, -(-counts[names[g]][cell] // BLOCK_ROWS))
+                for p in np.unique(parts):
+                    i, c, home, many = at[parts == p], cell[parts == p], first[parts == p], np.arange(p)
+                    if p == 1:
+                        rows.append(np.stack([i, c, 0 * i, np.where(home, 3, 2)]))
+                        continue
+                    own, seek = h2[i] % p, (h2[i] >> 20) % p
+                    rows.append(np.stack([np.repeat(i, p), np.repeat(c, p), (many * p + seek[:, None]).ravel(), np.repeat(0 * i + 2, p)]))
+                    rows.append(np.stack([np.repeat(i[home], p), np.repeat(c[home], p), (own[home, None] * p + many).ravel(), np.repeat(0 * i[home] + 1, p)]))
             at, to, block, kind = np.concatenate(rows, axis=1)
             take = pa.array(at)
             binary = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(0, len(raw) * dim * 4 + 1, dim * 4, dtype=np.int32)), pa.py_buffer(raw)])
@@ -225,7 +260,6 @@ def nearest_vectors(df: DataFrame, scope_col: str, id_col: str, vec_col: str, di
     found_type = "scope string, h1 long, h2 long, near array<struct<cosine:double,h1:long,h2:long>>"
 
     def search(t: pa.Table) -> pa.Table:
-        centre, turn, _ = shared.value
         t = t.combine_chunks()
         kind, h1, h2 = np.array(t["kind"]), np.array(t["h1"]), np.array(t["h2"])
         rows = unit(np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(-1, dim))
@@ -234,7 +268,7 @@ def nearest_vectors(df: DataFrame, scope_col: str, id_col: str, vec_col: str, di
             asks = asks[:0]
         place_of = {(a, b): i for i, (a, b) in enumerate(zip(h1[there].tolist(), h2[there].tolist(), strict=True))}
         same = np.array([place_of.get(x, -1) for x in zip(h1[asks].tolist(), h2[asks].tolist(), strict=True)], np.int64)
-        index, value = search_block(rows[there], rows[asks], same, centre[t["cell"][0].as_py()], turn, k) if len(asks) else (np.zeros((0, k), np.int64), np.zeros((0, k)))
+        index, value = search_block(rows[there], rows[asks], same, rows[there].mean(axis=0).astype(np.float32), turn, k) if len(asks) else (np.zeros((0, k), np.int64), np.zeros((0, k)))
         keep = (index >= 0) & (value >= min_cosine)
         some = np.flatnonzero(keep.any(axis=1))
         which = there[index[keep]]

@@ -54,3 +54,24 @@ def test_hot_cell_in_blocks(spark, monkeypatch):
     _, want = brute(x, 5)
     pairs = {(int(r.id), int(r.neighbour)) for r in got}
     assert len(got) == 2000 and np.mean([(i, j) in pairs for i in range(400) for j in want[i]]) > 0.99
+
+
+def test_scopes_beside_a_larger_one(spark):
+    rng = np.random.default_rng(7)
+    scopes = {"big": rng.standard_normal((12_000, 64)), "mid": rng.standard_normal((200, 64)), "few": rng.standard_normal((20, 64)), "six": rng.standard_normal((6, 64)), "two": rng.standard_normal((2, 64))}
+    got = neighbours.nearest_vectors(frame(spark, [(c, f"{i:05d}", v.tolist()) for c, x in scopes.items() for i, v in enumerate(x)]), "c", "id", "v").collect()
+    for c, x in scopes.items():
+        pairs = {(int(r.id), int(r.neighbour)) for r in got if r.scope == c}
+        assert len(pairs) == len(x) * min(5, len(x) - 1), c
+        if c != "big":
+            assert np.mean([(i, j) in pairs for i, near in enumerate(brute(x, min(5, len(x) - 1))[1]) for j in near]) >= 0.99, c
+
+
+def test_further_cells_where_the_nearest_hold_too_few(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.eye(64)[i] + 0.01 * rng.standard_normal((3 if i < 8 else 200, 64)) for i in range(12)])
+    got = neighbours.nearest_vectors(frame(spark, [("c", f"{i:05d}", v.tolist()) for i, v in enumerate(x)]), "c", "id", "v", cells=12, probes=1).collect()
+    assert len(got) == 5 * len(x)
+    centre, counts = np.eye(4, 64, dtype=np.float32), np.array([2, 0, 1, 9])
+    at, cell, home = neighbours.probed(np.array([7]), np.array([[1, 0.5, 0.2, 0.1] + [0] * 60], np.float32), centre, counts, 1, 2)
+    assert at.tolist() == [7, 7, 7] and cell.tolist() == [0, 1, 2] and home.tolist() == [True, False, False]
