@@ -102,7 +102,7 @@ def _mix(spark: SparkSession, d: str, op: Callable[..., DataFrame]) -> DataFrame
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d, mixing.mix_report).filter("NOT reachable").select("mix_id", "source")
+    return _mix(spark, d, mixing.unreached)
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -78,12 +78,26 @@ def mix(docs: DataFrame, plans: DataFrame, targets: DataFrame, seed: int = 5, bu
     )
 
 
-def mix_report(docs: DataFrame, plans: DataFrame, targets: DataFrame, **how: int) -> DataFrame:
-    """For each mix and listed source: target and reached tokens, actual share of the mix in 1/10 000, documents used, and whether the target can be reached."""
+def _reached(docs: DataFrame, plans: DataFrame, targets: DataFrame, **how: int) -> DataFrame:
+    """The budgets together with what the mix took of each source."""
     chosen = mix(docs, plans, targets, **how).groupBy("mix_id", "source").agg(
         F.sum(F.col("size") * F.col("repeats")).alias("mixed_tokens"), F.count(F.lit(1)).alias("docs_used"), F.max("repeats").alias("most_repeats")
     )
     sized = docs.select("source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-    rows = budgets(sized, plans, targets).join(chosen, ["mix_id", "source"], "left").fillna(0, ["mixed_tokens", "docs_used", "most_repeats"])
+    return budgets(sized, plans, targets).join(chosen, ["mix_id", "source"], "left").fillna(0, ["mixed_tokens", "docs_used", "most_repeats"])
+
+
+def mix_report(docs: DataFrame, plans: DataFrame, targets: DataFrame, **how: int) -> DataFrame:
+    """For each mix and listed source: target and reached tokens, actual share of the mix in 1/10 000, documents used, and whether the target can be reached."""
+    rows = _reached(docs, plans, targets, **how)
     share = F.round(10_000 * F.col("mixed_tokens") / F.nullif(F.sum("mixed_tokens").over(W.partitionBy("mix_id")), F.lit(0)), 3)
     return rows.select("mix_id", "source", "source_tokens", "target_tokens", "mixed_tokens", "docs_used", "most_repeats", F.coalesce(share, F.lit(0.0)).alias("share_bp"), "reachable")
+
+
+def unreached(docs: DataFrame, plans: DataFrame, targets: DataFrame, **how: int) -> DataFrame:
+    """mix_id, source: listed sources of which the mix used every document as often as allowed and still has no more than the target, where the target is then exactly out of reach.
+
+    A source out of reach is taken in complete epochs only, so that its mixed tokens are max_repeats times its tokens; equality with the target, which is rounded down, is left to `reachable`.
+    """
+    used_up = F.col("mixed_tokens") == F.col("max_repeats") * F.col("source_tokens")
+    return _reached(docs, plans, targets, **how).filter(used_up & (F.col("mixed_tokens") <= F.col("target_tokens")) & ~F.col("reachable")).select("mix_id", "source")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lodeline.llm import mixing
+from lodeline.llm import catalog, mixing
 
 
 def setup(spark):
@@ -49,3 +49,14 @@ def test_empty(spark):
     assert mixing.mix_report(docs.limit(0), plans, targets).filter("mixed_tokens > 0").count() == 0
     df = spark.createDataFrame([("字 a1",), ("   ",), (None,)], "t string")
     assert [round(r[0], 3) for r in df.select(mixing.quality_weight(F.col("t"))).collect()] == [0.667, 0.05, 0.05]
+
+
+def test_unreached_follows_the_mix(spark, monkeypatch):
+    docs, plans, targets = setup(spark)
+    rows = mixing.unreached(docs, plans, targets)
+    assert {tuple(r) for r in rows.collect()} == {(1, "d"), (1, "none")} and rows.count() == 2
+    found = catalog.p7_found(spark, "/root/testdata/sf0.001")
+    assert "xxhash64" in found._jdf.queryExecution().optimizedPlan().toString()
+    whole = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda *a, **how: whole(*a, **how).filter("source != 'd'"))
+    assert {tuple(r) for r in mixing.unreached(docs, plans, targets).collect()} == {(1, "none")}
