@@ -149,8 +149,6 @@ def aligned(sentence: str, which: str) -> float:
 @lru_cache(50_000)
 def is_refusal(reply: str) -> bool:
     """At least one sentence aligns with a refusal template, and none but greetings and good wishes is left besides."""
-    if len(reply) > 400:
-        return False
     refused, sentences = False, [core(s) for s in re.split(r"[。！？!?.…\n]+(?:\s+|(?=\D)|$)", reply)]
     for i, s in enumerate(sentences):
         if aligned(s, "refusal") >= 0.9:

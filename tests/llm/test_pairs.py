@@ -44,3 +44,8 @@ def test_edges(spark):
     assert rows == [(1, "empty"), (3, "empty"), (3, "empty")]
     assert pairs.pair_defects(df.limit(0), "p", "r", ["defect"]).count() == 0
     assert os.path.basename(pairs.__file__) == "pairs.py"
+
+
+def test_long_refusals():
+    assert pairs.is_refusal("I'm sorry, but I can't help with that. " * 12)
+    assert not pairs.is_refusal("I'm sorry, but I can't help with that. " + "The area of the square is the product of its two sides. " * 12)
