@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.llm import dialogue, mixing, neighbours, packing, pairs, pii, sentences, splitting
+from lodeline.llm.common import is_blank
 from lodeline.sources.tables import parallelism, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,7 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     links = dialogue.linked(table(spark, d, "education_messages")).filter("speaker = 'assistant' AND prev_speaker = 'pupil'")
+    links = links.filter(~is_blank(F.col("prev_content")))  # a blank message is no question
     return pairs.pair_defects(links.select(F.col("id").alias("reply_id"), "prev_content", "content"), "prev_content", "content", ["reply_id"])
 
 
