@@ -1,4 +1,4 @@
-"""Reading the parquet tables of a data directory, and the shared checkpoint folder."""
+"""Reading the parquet tables of a data directory, and the shared folder of a session."""
 
 from __future__ import annotations
 
@@ -12,17 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, which the cluster names in spark.checkpoint.dir.
 
-    Only where the session names none and none was set before (local tests) a
-    temporary folder is used.
+    Only a local session that names none gets a temporary folder, once; elsewhere an unset folder is an error, as another machine could not read a local one.
     """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeline-ckpt-"))
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="lodeline-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Let checkpoint() write to the shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def parallelism(spark: SparkSession, times: int = 2) -> int:
