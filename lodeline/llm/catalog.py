@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.llm import dialogue, mixing, neighbours, packing, pairs, pii, sentences, splitting
-from lodeline.llm.common import is_blank
+from lodeline.llm.common import declared, is_blank
 from lodeline.sources.tables import parallelism, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
     """split_limits holds one declared row for each table."""
-    return {r.table_name: (r.max_chars, r.overlap_chars) for r in table(spark, d, "split_limits").distinct().limit(1000).collect()}
+    return {name: (most, shared) for name, most, shared in declared(table(spark, d, "split_limits"), "table_name", "max_chars", "overlap_chars")}
 
 
 SPLIT = {"education_vector_chunks": ("collection_name", "document"), "lexical_documents": ("namespace", "text")}
@@ -48,7 +48,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return dialogue.conversations_of(table(spark, d, "education_messages"), table(spark, d, "education_conversations")).select(
-        "thread_id", "created_at", "id", "speaker", "content", "parent_id", "exchange_id"
+        "thread_id", "created_at", "id", "speaker", "content", "parent_id", "root_id"
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Characters besides Unicode white space that show nothing: zero-width and direction marks, soft hyphen, BOM, fillers.
 INVISIBLE = "\\u00AD\\u034F\\u061C\\u115F\\u1160\\u17B4\\u17B5\\u180B-\\u180E\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u206F\\u2800\\u3164\\uFE00-\\uFE0F\\uFEFF\\uFFA0"
@@ -33,3 +34,21 @@ def renamed(df: DataFrame, names: Sequence[tuple[str, str]]) -> DataFrame:
     """Undo the internal names of `keyed`."""
     return df.withColumnsRenamed(dict(names))
 
+
+
+#: Most rows of a table that may be broadcast or collected because it was counted first.
+SMALL_ROWS = 50_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> tuple[DataFrame, int]:
+    """`df`, marked for a broadcast if it has at most `most` rows, and its number of rows (most + 1 if there are more, in which case a join shuffles)."""
+    rows = df.limit(most + 1).count()
+    return (F.broadcast(df) if rows <= most else df), rows
+
+
+def declared(df: DataFrame, *columns: str, most: int = SMALL_ROWS) -> list[tuple]:
+    """The distinct rows of a table declared by hand, sorted. Raises ValueError if it has more than `most`, rather than leave some out."""
+    rows = df.select(*columns).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows declared")
+    return sorted(map(tuple, rows), key=repr)

@@ -1,28 +1,45 @@
 """Problem 2: rebuilding conversations from message rows.
 
 Method: reply links. For every message the candidate parents are the messages
-before it; each candidate is scored by time, mention and lexical overlap, the
-likeliest becomes the parent, and links form trees (an exchange is a pupil's
-message with the replies linked to it).
-
-A thread may hold a third of all rows, so no step gathers a thread: rows are
-ordered within (thread, hour), and one small row for each thread and hour
-carries the tail of the dialogue over to the next hour.
+of the other speaker before it; each is scored by time, mention and lexical
+overlap and the likeliest becomes the parent. Links form trees: a pupil's
+message that follows up nothing is a root, and a tree is all that hangs on it.
+
+Rows are sorted once by thread and order and read as a stream, so no step holds
+a thread. A thread of many rows is cut into slots of time that are read by
+different tasks; each slot begins with the few messages before it that its own
+may reply to.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from lodeline.llm.common import is_blank
+from lodeline.llm.common import is_blank, small
+from lodeline.sources.tables import ensure_checkpoint_dir
 
 PUPIL = ["user", "pupil", "student", "human", "learner", "child", "学生", "學生", "用户", "用戶", "孩子", "小朋友"]
 ASSISTANT = ["assistant", "ai", "bot", "tutor", "model", "chatbot", "gpt", "助教", "助手", "机器人", "機器人", "小助手"]
-#: Candidates looked back at, in positions; a candidate further off is chosen only if none lies within.
-REACH = 8
-MENTION, LEXICAL, NEAR, STEP = 3.0, 2.0, 1.0, 0.75  # weights of the link score
+#: Weights of the link score: a mention, full lexical overlap (ENOUGH shared terms), no time between, and each message of the other speaker passed over. Chosen on talks of three threads merged into one.
+MENTION, LEXICAL, NEAR, STEP, ENOUGH = 5.0, 5.0, 1.0, 0.5, 8
+#: Candidates kept of each speaker. The nearest one scores at least 0 and one passed over so often at most 0, so that none further off can be the likeliest.
+REACH = math.ceil((MENTION + LEXICAL + NEAR) / STEP)
+#: Mention and overlap that make a pupil's message a follow-up.
+FOLLOW = 3.5
+#: Rows of a thread from which it is cut into slots, and rows aimed at for a slot.
+SLOT_ROWS = 20_000
+CJK = "\u3040-\u30ff\u3400-\u9fff"
+WORDS = re.compile(rf"[^\W_{CJK}]{{3,}}|[{CJK}]+")
+NAMES = re.compile(r"[@#＠]([\w\-]+)")
 
 
 def speaker_of(role: Column) -> Column:
@@ -31,13 +48,12 @@ def speaker_of(role: Column) -> Column:
     return F.when(name.isin(PUPIL), "pupil").when(name.isin(ASSISTANT), "assistant")
 
 
-def _bits(text: Column) -> Column:
-    """128 bits that stand for the words and CJK characters of a text."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}&&[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]]{3,}|[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]{2}"), F.lit(0))
-    spot = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(128)).cast("int"))
-    one = F.lit(1).cast("long")
-    half = lambda lo: F.aggregate(F.filter(spot, lambda p: (p >= lo) & (p < lo + 64)), F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", one, p - lo)))
-    return F.struct(half(0).alias("a"), half(64).alias("b"))
+def terms(text: str | None) -> frozenset[str]:
+    """Words of three letters and more, and every pair of neighbouring CJK characters."""
+    out: set[str] = set()
+    for w in WORDS.findall((text or "").lower()):
+        out.update(w[i : i + 2] for i in range(len(w) - 1)) if "\u3040" <= w[0] <= "\u9fff" else out.add(w)
+    return frozenset(out)
 
 
 def _micros(at: Column) -> Column:
@@ -47,7 +63,7 @@ def _micros(at: Column) -> Column:
 
 
 def dialogue_messages(messages: DataFrame) -> DataFrame:
-    """Messages of pupil and assistant, each id once, with speaker, blank and hour.
+    """Messages of pupil and assistant, each id once, with speaker, blank and microseconds.
 
     Copies of an id are reduced to the smallest of them by columns in order, whatever their spelling of role. Rows without thread_id are no part of a thread and are left out;
     rows without id are told apart by their other columns.
@@ -55,91 +71,150 @@ def dialogue_messages(messages: DataFrame) -> DataFrame:
     rows = messages.select("thread_id", "id", speaker_of(F.col("role")).alias("speaker"), "student_id", "content", "created_at").filter("speaker IS NOT NULL AND thread_id IS NOT NULL")
     key = F.coalesce(F.col("id"), F.xxhash64("thread_id", "speaker", "content", "created_at"))
     one = rows.groupBy(F.col("id").isNull().alias("_n"), key.alias("_k")).agg(F.min(F.struct(*rows.columns)).alias("m")).select("m.*")
-    return one.withColumn("blank", is_blank(F.col("content"))).withColumn("us", _micros(F.col("created_at"))).withColumn("hour", F.floor(F.col("us") / 3_600_000_000))
-
-
-def linked(messages: DataFrame) -> DataFrame:
+    return one.withColumn("blank", is_blank(F.col("content"))).withColumn("us", _micros(F.col("created_at")))
+
+
+class _Said:
+    """A message as a candidate parent."""
+
+    __slots__ = ("id", "names", "root", "student", "text", "us", "_terms")
+
+    def __init__(self, id_: int | None, us: int, student: str | None, text: str | None) -> None:
+        self.id, self.us, self.student, self.text, self._terms, self.root = id_, us, student, text, None, id_
+        self.names = set(NAMES.findall(text)) if text and ("@" in text or "#" in text or "＠" in text) else ()
+
+    @property
+    def terms(self) -> frozenset[str]:
+        if self._terms is None:
+            self._terms = terms(self.text)
+        return self._terms
+
+
+def likeliest(said: _Said, candidates: deque[_Said]) -> tuple[_Said | None, float, float]:
+    """The candidate with the highest score, ties to the nearest, with its score and how much of it is mention and overlap. Overlap is worked out only where it could decide."""
+    best, top, proof = None, -math.inf, 0.0
+    for passed, c in enumerate(reversed(candidates)):
+        sure = MENTION if said.names and (c.student in said.names or str(c.id) in said.names) else 0.0
+        rest = sure + NEAR * math.exp(-min(700.0, max(0, said.us - c.us) / 6e8)) - STEP * passed
+        if rest + LEXICAL <= top:
+            continue
+        lexical = LEXICAL * min(1.0, math.log1p(len(said.terms & c.terms)) / math.log1p(ENOUGH))
+        if rest + lexical > top:
+            best, top, proof = c, rest + lexical, sure + lexical
+    return best, top, proof
+
+
+def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch | None]]:
+    held = None
+    for b in batches:
+        if len(b):
+            if held is not None:
+                yield held, b
+            held = b
+    if held is not None:
+        yield held, None
+
+
+KEPT = ("thread_id", "slot", "id", "speaker", "student_id", "content", "created_at", "blank")
+FOUND = ("prev_id {id}", "prev_speaker string", "prev_content string", "next_speaker string", "next_blank boolean", "parent_id {id}", "parent_is_prev boolean", "link_score double", "root_id {id}", "root_here boolean")
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a stream of rows sorted by thread, slot, kind (0: said before the slot, 1: its own, 2: the next behind it), created_at and id."""
+    key, prev = None, None
+    seen: dict[str, deque[_Said]] = {}
+    for b, then in _ahead(batches):
+        thread, slot, kind, ids, who, student, text, us, blank = (b[c].to_pylist() for c in ("thread_id", "slot", "kind", "id", "speaker", "student_id", "content", "us", "blank"))
+        behind = [*zip(thread[1:], slot[1:], who[1:], blank[1:], strict=True), (then["thread_id"][0].as_py(), then["slot"][0].as_py(), then["speaker"][0].as_py(), then["blank"][0].as_py()) if then is not None else (None,) * 4]
+        rows = []
+        for i, k in enumerate(kind):
+            if (thread[i], slot[i]) != key:
+                key, prev = (thread[i], slot[i]), None
+                seen = {"pupil": deque(maxlen=REACH), "assistant": deque(maxlen=REACH)}
+                here: set[int | None] = set()
+            if us[i] is None:
+                rows.append((None, None, None, None, None, None, False, None, ids[i], True))
+                continue
+            said = _Said(ids[i], us[i], student[i], text[i])
+            if k == 1:
+                best, score, proof = likeliest(said, seen["assistant" if who[i] == "pupil" else "pupil"])
+                if best is not None and (who[i] == "assistant" or proof >= FOLLOW):
+                    said.root = best.root
+                    link = best.id, prev is not None and best is prev[0], score
+                else:
+                    link = None, False, None
+                    here.add(ids[i])
+                t, s, next_who, next_blank = behind[i]
+                after = (next_who, next_blank) if (t, s) == key else (None, None)
+                rows.append((*((prev[0].id, prev[1], prev[0].text) if prev else (None, None, None)), *after, *link, said.root, said.root in here))
+            if k < 2:
+                seen[who[i]].append(said)
+                prev = said, who[i]
+        mine = b.filter(pa.array([k == 1 for k in kind]))
+        types = {"{id}": b.schema.field("id").type, "string": b.schema.field("content").type, "boolean": pa.bool_(), "double": pa.float64()}
+        columns = zip(*rows, strict=True) if rows else [()] * len(FOUND)
+        arrays = [pa.array(col, types[f.split()[1]]) for col, f in zip(columns, FOUND, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(mine[c] for c in KEPT), *arrays], names=[*KEPT, *(f.split()[0] for f in FOUND)])
+
+
+def _slotted(rows: DataFrame, messages: DataFrame, slot_rows: int) -> tuple[DataFrame, bool]:
+    """Rows with slot and kind, and whether any thread is cut. What a slot needs from outside is added to it as rows of kind 0 and 2."""
+    big = messages.filter("thread_id IS NOT NULL AND created_at IS NOT NULL").groupBy("thread_id").agg(F.count(F.lit(1)).alias("many"), F.min("created_at").alias("lo"), F.max("created_at").alias("hi")).filter(F.col("many") > slot_rows)
+    big, some = small(big.select("thread_id", "many", _micros(F.col("lo")).alias("lo"), _micros(F.col("hi")).alias("hi")))
+    if not some:
+        return rows.withColumn("slot", F.lit(0).cast("long")).withColumn("kind", F.lit(1)), False
+    width = F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo") + 1) * (slot_rows / 4.0) / F.col("many"))
+    placed = rows.join(big, "thread_id", "left").withColumn("slot", F.coalesce(F.floor((F.col("us") - F.col("lo")) / width), F.lit(0)).cast("long"))
+    hot = placed.filter("many IS NOT NULL AND us IS NOT NULL").drop("many", "lo", "hi")
+    placed = placed.drop("many", "lo", "hi").withColumn("kind", F.lit(1))
+    slots = hot.select("thread_id", "slot").distinct().withColumn("pos", F.row_number().over(W.partitionBy("thread_id").orderBy("slot")))
+    at = F.struct("us", "id")
+    ends = hot.withColumn("back", F.row_number().over(W.partitionBy("thread_id", "slot", "speaker").orderBy(F.desc("us"), F.desc("id")))).filter(F.col("back") <= REACH).drop("back").join(slots, ["thread_id", "slot"])
+    until = F.coalesce(F.lead("pos", REACH).over(W.partitionBy("thread_id", "speaker").orderBy("us", "id")), F.max("pos").over(W.partitionBy("thread_id")))
+    before = ends.withColumn("until", until).filter("until > pos").withColumn("pos", F.explode(F.sequence(F.col("pos") + 1, F.col("until")))).drop("slot", "until").join(slots, ["thread_id", "pos"]).withColumn("kind", F.lit(0))
+    first = hot.groupBy("thread_id", "slot").agg(F.min_by(F.struct(*rows.columns), at).alias("m")).join(slots, ["thread_id", "slot"]).select("m.*", (F.col("pos") - 1).alias("pos"))
+    after = first.join(slots, ["thread_id", "pos"]).withColumn("kind", F.lit(2))
+    cols = placed.columns
+    return placed.unionByName(before.select(*cols)).unionByName(after.select(*cols)), True
+
+
+def _rooted(links: DataFrame) -> DataFrame:
+    """Roots of trees that began in an earlier slot: the few messages that slots refer to are followed back by pointer jumping, in as many rounds as the logarithm of the slots a tree spans."""
+    ensure_checkpoint_dir(links.sparkSession)
+    links = links.checkpoint()
+    open_ = links.filter("NOT root_here").select("thread_id", F.col("root_id").alias("id")).distinct()
+    hops = links.join(open_, ["thread_id", "id"], "left_semi").select("thread_id", "id", F.col("root_id").alias("up"), F.col("root_here").alias("done")).checkpoint()
+    while not hops.filter("NOT done").isEmpty():
+        over = hops.select("thread_id", F.col("id").alias("up"), F.col("up").alias("next"), F.col("done").alias("known"))
+        hops = hops.join(over, ["thread_id", "up"], "left").select("thread_id", "id", F.when(F.col("done"), F.col("up")).otherwise(F.col("next")).alias("up"), (F.col("done") | F.col("known")).alias("done")).checkpoint()
+    roots = hops.select("thread_id", F.col("id").alias("root_id"), F.col("up").alias("first_id"))
+    return links.join(roots, ["thread_id", "root_id"], "left").withColumn("root_id", F.when(F.col("root_here"), F.col("root_id")).otherwise(F.col("first_id"))).select(*links.columns)
+
+
+def linked(messages: DataFrame, slot_rows: int = SLOT_ROWS, roots: bool = False) -> DataFrame:
     """One row for each dialogue message with its place and its reply link.
 
-    Columns: thread_id, id, speaker, student_id, content, created_at, blank, prev_id, prev_speaker, prev_content, next_speaker, next_blank,
-    parent_id, link_score, exchange_id. Order is created_at, then id; a message without created_at has no neighbours, no parent and is its own exchange. An assistant
-    message may reply to pupil messages before it, a pupil message may follow assistant messages. The score is 3 for a mention (@ or # with the other's student_id or id)
-    + twice the lexical overlap (0 to 1) + exp(-seconds / 600) - 0.75 for each position beyond the nearest; ties go to the nearest. Beyond 8 positions the nearest of the other speaker is taken.
-    exchange_id is the parent of an assistant message that has one, else the message itself.
+    Columns: thread_id, slot, id, speaker, student_id, content, created_at, blank, prev_id, prev_speaker, prev_content, next_speaker, next_blank, parent_id, parent_is_prev, link_score, root_id, root_here. Order is
+    created_at, then id; a message without created_at has no neighbours and no parent. The score of a candidate is 5 for a mention (@ or # with its student_id or id) + five times the lexical overlap (logarithm of
+    shared terms, full at 8) + exp(-seconds / 600) - 0.5 for each message of the other speaker between; ties go to the nearest. An assistant message takes the likeliest pupil's message as its parent, a pupil's message
+    the likeliest assistant message if mention and overlap reach FOLLOW; without a parent it is a root. root_id is the root of the tree; where a thread is cut into slots and root_here is false
+    it is the message of an earlier slot that the tree goes on from, unless `roots` is asked for, which follows it to its root and uses checkpoint(). Threads of more than slot_rows rows are cut into slots.
     """
     rows = dialogue_messages(messages)
-    timed, untimed = rows.filter("created_at IS NOT NULL"), rows.filter("created_at IS NULL")
-    timed = timed.withColumn("said", F.struct(
-        F.col("id"), F.col("speaker"), F.col("us"), _bits(F.col("content")).alias("bits"), F.col("student_id"),
-        F.regexp_extract("content", r"[@#＠]([A-Za-z0-9_\-]+)", 1).alias("at"),
-    ))
-    by = W.partitionBy("thread_id", "hour").orderBy("created_at", "id")
-    other = lambda who: F.when(F.col("speaker") == who, F.col("said"))
-    placed = (
-        timed.withColumn("n", F.row_number().over(by))
-        .withColumn("in_prev_id", F.lag("id").over(by)).withColumn("in_prev_speaker", F.lag("speaker").over(by)).withColumn("in_prev_content", F.lag("content").over(by))
-        .withColumn("in_next_speaker", F.lead("speaker").over(by)).withColumn("in_next_blank", F.lead("blank").over(by))
-        .withColumn("in_tail", F.collect_list("said").over(by.rowsBetween(-REACH, -1)))
-        .withColumn("in_pupil", F.last(other("pupil"), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("in_assistant", F.last(other("assistant"), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("of_hour", F.count(F.lit(1)).over(W.partitionBy("thread_id", "hour")))
-    )
-    at = F.struct("created_at", "id")
-    hours = placed.groupBy("thread_id", "hour").agg(
-        F.max_by("id", at).alias("last_id"), F.max_by("speaker", at).alias("last_speaker"), F.max_by("content", at).alias("last_content"),
-        F.min_by("speaker", at).alias("first_speaker"), F.min_by("blank", at).alias("first_blank"),
-        F.max_by(F.concat(F.slice("in_tail", F.greatest(F.lit(1), F.size("in_tail") - REACH + 2), F.lit(REACH)), F.array("said")), at).alias("tail"),
-        F.max_by(other("pupil"), F.when(F.col("speaker") == "pupil", at)).alias("last_pupil"),
-        F.max_by(other("assistant"), F.when(F.col("speaker") == "assistant", at)).alias("last_assistant"),
-    )
-    seq = W.partitionBy("thread_id").orderBy("hour")
-    past = seq.rowsBetween(W.unboundedPreceding, -1)
-    carried = hours.select(
-        "thread_id", "hour",
-        F.lag("last_id").over(seq).alias("h_prev_id"), F.lag("last_speaker").over(seq).alias("h_prev_speaker"), F.lag("last_content").over(seq).alias("h_prev_content"),
-        F.lead("first_speaker").over(seq).alias("h_next_speaker"), F.lead("first_blank").over(seq).alias("h_next_blank"),
-        F.flatten(F.collect_list("tail").over(seq.rowsBetween(-REACH, -1))).alias("h_tails"),
-        F.last("last_pupil", ignorenulls=True).over(past).alias("h_pupil"), F.last("last_assistant", ignorenulls=True).over(past).alias("h_assistant"),
-    )
-    carried = carried.withColumn("h_tail", F.slice("h_tails", F.greatest(F.lit(1), F.size("h_tails") - REACH + 1), F.lit(REACH))).drop("h_tails")
-    whole = placed.join(carried, ["thread_id", "hour"], "left")
-    first, last = F.col("n") == 1, F.col("n") == F.col("of_hour")
-    tail = F.concat(F.coalesce("h_tail", F.array()), "in_tail")
-    near = F.slice(tail, F.greatest(F.lit(1), F.size(tail) - REACH + 1), F.lit(REACH))
-    fallback = F.when(F.col("speaker") == "assistant", F.coalesce("in_pupil", "h_pupil")).otherwise(F.coalesce("in_assistant", "h_assistant"))
-
-    def score(c: Column, i: Column) -> Column:
-        both = F.bit_count(c["bits"]["a"].bitwiseAND(F.col("said.bits.a"))) + F.bit_count(c["bits"]["b"].bitwiseAND(F.col("said.bits.b")))
-        less = F.least(F.bit_count(c["bits"]["a"]) + F.bit_count(c["bits"]["b"]), F.bit_count("said.bits.a") + F.bit_count("said.bits.b"))
-        mention = (F.col("said.at") != "") & ((F.col("said.at") == c["student_id"]) | (F.col("said.at") == c["id"].cast("string")))
-        value = (
-            F.when(mention, MENTION).otherwise(0.0) + LEXICAL * F.coalesce(both / F.nullif(less, F.lit(0)), F.lit(0.0))
-            + NEAR * F.exp(-(F.col("said.us") - c["us"]) / 6e8) - STEP * (F.size("near") - 1 - i)
-        )
-        return F.when(c["speaker"] != F.col("speaker"), F.struct(F.coalesce(value, F.lit(0.0)).alias("score"), i.alias("i"), c["id"].alias("id")))
-
-    best = F.array_max(F.transform("near", score))
-    placed_all = whole.withColumn("near", near).withColumn("best", best).select(
-        "thread_id", "id", "speaker", "student_id", "content", "created_at", "blank",
-        F.when(first, F.col("h_prev_id")).otherwise(F.col("in_prev_id")).alias("prev_id"),
-        F.when(first, F.col("h_prev_speaker")).otherwise(F.col("in_prev_speaker")).alias("prev_speaker"),
-        F.when(first, F.col("h_prev_content")).otherwise(F.col("in_prev_content")).alias("prev_content"),
-        F.when(last, F.col("h_next_speaker")).otherwise(F.col("in_next_speaker")).alias("next_speaker"),
-        F.when(last, F.col("h_next_blank")).otherwise(F.col("in_next_blank")).alias("next_blank"),
-        F.coalesce("best.id", fallback["id"]).alias("parent_id"), F.col("best.score").alias("link_score"),
-    )
-    none = {c: F.lit(None).cast(t) for c, t in placed_all.dtypes if c not in untimed.columns}
-    out = placed_all.unionByName(untimed.select(*[none.get(c, F.col(c) if c in untimed.columns else None).alias(c) for c in placed_all.columns]))
-    return out.withColumn("exchange_id", F.when(F.col("speaker") == "assistant", F.coalesce("parent_id", "id")).otherwise(F.col("id")))
+    slotted, cut = _slotted(rows, messages, slot_rows)
+    kinds = rows.schema
+    schema = T.StructType([T.StructField("thread_id", kinds["thread_id"].dataType), T.StructField("slot", T.LongType()), *(kinds[c] for c in KEPT[2:])] + T._parse_datatype_string(", ".join(FOUND).format(id=kinds["id"].dataType.simpleString())).fields)
+    links = slotted.repartition("thread_id", "slot").sortWithinPartitions("thread_id", "slot", "kind", "created_at", "id").mapInArrow(_follow, schema)
+    return _rooted(links) if cut and roots else links
 
 
 def thread_defects(links: DataFrame, messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """thread_id, defect: one row for each thread and defect (`empty` alone, else `broken`, `no_reply`).
 
-    `links` is the result of `linked`. An assistant message is in place if a link leads to the pupil's message directly before it; a pupil's message is answered if a non-blank assistant message comes
-    directly behind it. Threads are those of either table, null thread_id excepted.
+    `links` is the result of `linked`. An assistant message is in place if its link leads to the message directly before it; where the likeliest parent is another, the place decides: whether the message before is a
+    pupil's. A pupil's message is answered if a non-blank assistant message comes directly behind it. Threads are those of either table, null thread_id excepted.
     """
-    adrift = (F.col("speaker") == "assistant") & ~(F.coalesce(F.col("prev_speaker") == "pupil", F.lit(False)) & F.col("parent_id").isNotNull())
+    adrift = (F.col("speaker") == "assistant") & ~(F.col("parent_is_prev") | F.coalesce(F.col("prev_speaker") == "pupil", F.lit(False)))
     silent = (F.col("speaker") == "pupil") & F.col("created_at").isNotNull() & ~F.coalesce((F.col("next_speaker") == "assistant") & ~F.col("next_blank"), F.lit(False))
     verdict = links.groupBy("thread_id").agg(
         F.bool_or(~F.col("blank")).alias("said"), F.bool_or(F.col("created_at").isNull() | adrift).alias("broken"), F.bool_or(silent).alias("no_reply"),
@@ -156,12 +231,13 @@ def thread_defects(links: DataFrame, messages: DataFrame, conversations: DataFra
     return rows.select("thread_id", F.explode("defects").alias("defect"))
 
 
-def conversations_of(messages: DataFrame, conversations: DataFrame) -> DataFrame:
-    """The messages of whole threads in order: thread_id, created_at, id, speaker, content, parent_id, exchange_id; threads with any defect are left out.
+def conversations_of(messages: DataFrame, conversations: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """The messages of whole threads in order: thread_id, created_at, id, speaker, content, parent_id, root_id; threads with any defect are left out.
 
-    (created_at, id) is the order; it is given as columns, and not numbered, as a thread may be of any length. Blank assistant messages make a thread `no_reply`, so none is left.
+    (created_at, id) is the order; it is given as columns, and not numbered, as a thread may be of any length. root_id names the tree, a pupil's question with its replies and follow-ups. Blank assistant
+    messages make a thread `no_reply`, so none is left.
     """
-    links = linked(messages)
+    links = linked(messages, slot_rows, roots=True)
     return links.join(thread_defects(links, messages, conversations).select("thread_id").distinct(), "thread_id", "left_anti").select(
-        "thread_id", "created_at", "id", "speaker", "content", "parent_id", "exchange_id"
+        "thread_id", "created_at", "id", "speaker", "content", "parent_id", "root_id"
     )
