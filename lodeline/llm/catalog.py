@@ -98,6 +98,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(*_packed(spark, d))
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The packing held against what SQL can say of it: nothing is lost, no container is overfull."""
+    return packing.overfull(*_packed(spark, d))
+
+
 def _mix(spark: SparkSession, d: str, op: Callable[..., DataFrame]) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", packing.token_size(F.col("text")).alias("size"), mixing.quality_weight(F.col("text")).alias("weight"))
     return op(docs, table(spark, d, "mix_plans"), table(spark, d, "mix_targets"))
@@ -121,7 +126,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_redacted, p5_found, p6_found, p6_containers, p6_fill, p7_found, p7_mix, p7_report, p8_found)
+    for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_redacted, p5_found, p6_found, p6_containers, p6_fill, p6_checked, p7_found, p7_mix, p7_report, p8_found)
 }
 
 _P1 = """SELECT DISTINCT '{name}' AS table_name, {scope} AS scope, chunk_id,
@@ -152,6 +157,8 @@ s AS (SELECT a.collection_name, a.chunk_id AS a, b.chunk_id AS b, list_cosine_si
 t AS (SELECT *, row_number() OVER (PARTITION BY collection_name, a ORDER BY round(c, 12) DESC, b) AS n FROM s)
 SELECT DISTINCT collection_name, least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM t WHERE n <= 5 AND c >= 0.9""",
     "p6_found": "SELECT capacity_id, doc_id FROM documents, container_sizes WHERE strlen(text) > capacity_tokens",
+    "p6_checked": """SELECT capacity_id, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS tokens, CAST(sum(greatest(1, ceil(coalesce(strlen(text), 0) / capacity_tokens))) AS BIGINT) AS parts,
+0 AS excess, count(DISTINCT doc_id) AS docs, 0 AS torn FROM (SELECT DISTINCT * FROM container_sizes), documents GROUP BY capacity_id""",
     "p7_found": """WITH t AS (SELECT source, sum(strlen(text))::HUGEINT AS tokens FROM documents WHERE source IS NOT NULL GROUP BY source),
 l AS (SELECT g.mix_id, g.source, g.target_bp, g.max_repeats, p.size_pct, coalesce(t.tokens, 0) AS tokens FROM mix_targets g JOIN mix_plans p USING (mix_id) LEFT JOIN t USING (source)),
 w AS (SELECT *, sum(tokens) OVER (PARTITION BY mix_id) AS whole FROM l)

@@ -51,12 +51,35 @@ def test_empty(spark):
     assert [round(r[0], 3) for r in df.select(mixing.quality_weight(F.col("t"))).collect()] == [0.667, 0.05, 0.05]
 
 
+def test_room_is_filled_past_what_does_not_fit(spark):
+    sf = "/root/testdata/sf0.01"
+    report = {(r.mix_id, r.source): r for r in catalog.p7_report(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).filter("size > 0").toPandas()
+    used = catalog.p7_mix(spark, sf).toPandas()
+    for (mix_id, source), r in report.items():
+        mine = docs[docs["source"] == source]
+        if r.reachable and len(mine):
+            epochs = r.target_tokens // mine["size"].sum()
+            taken = used[(used["mix_id"] == mix_id) & (used["source"] == source) & (used["repeats"] > epochs)]["doc_id"]
+            spare = mine[~mine["doc_id"].isin(taken)]["size"]
+            left = r.target_tokens - r.mixed_tokens
+            assert left >= 0 and (len(spare) == 0 or left < spare.min()), (mix_id, source, left, spare.min())
+
+
+def test_light_documents_share_the_buckets(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(3).alias("size"), F.when(F.col("id") % 50 == 0, 1.0).otherwise(0.05).alias("weight"))
+    plans, targets = spark.createDataFrame([(1, 50)], "mix_id int, size_pct int"), spark.createDataFrame([(1, "a", 10000, 1)], "mix_id int, source string, target_bp int, max_repeats int")
+    one, many = mixing.mix(docs, plans, targets), mixing.mix(docs, plans, targets, bucket_docs=500)
+    assert one.agg(F.sum("size")).first()[0] == many.agg(F.sum("size")).first()[0] == 30_000
+    assert one.exceptAll(many).count() == 0
+
+
 def test_unreached_follows_the_mix(spark, monkeypatch):
     docs, plans, targets = setup(spark)
     rows = mixing.unreached(docs, plans, targets)
     assert {tuple(r) for r in rows.collect()} == {(1, "d"), (1, "none")} and rows.count() == 2
     found = catalog.p7_found(spark, "/root/testdata/sf0.001")
     assert "xxhash64" in found._jdf.queryExecution().optimizedPlan().toString()
-    whole = mixing.mix
-    monkeypatch.setattr(mixing, "mix", lambda *a, **how: whole(*a, **how).filter("source != 'd'"))
+    whole = mixing._mixed
+    monkeypatch.setattr(mixing, "_mixed", lambda *a, **how: whole(*a, **how).filter("source != 'd'"))
     assert {tuple(r) for r in mixing.unreached(docs, plans, targets).collect()} == {(1, "none")}

@@ -24,7 +24,8 @@ def test_whole_and_within_capacity(spark):
     docs = spark.createDataFrame([(i, (i * 37) % 90, "x") for i in range(500)] + [(900, 250, "x"), (901, 0, "x"), (902, None, "x"), (None, 5, "x"), (7, 259 % 90, "x")], "k long, n long, capacity_id string")
     caps = spark.createDataFrame([(1, 100), (2, 64), (2, 64), (3, 0)], "capacity_id int, capacity_tokens int")
     out = packing.pack(docs, "k", F.col("n"), caps, group_items=100).cache()
-    bins = out.filter("bin_no IS NOT NULL").join(caps.distinct(), "capacity_id").groupBy("capacity_id", "group_no", "bin_no").agg(F.sum("part_tokens").alias("used"), F.max("capacity_tokens").alias("most"))
+    assert out.filter("bin_no IS NULL OR group_no IS NULL").count() == 0
+    bins = out.join(caps.distinct(), "capacity_id").groupBy("capacity_id", "group_no", "bin_no").agg(F.sum("part_tokens").alias("used"), F.max("capacity_tokens").alias("most"))
     assert bins.filter("used > most").count() == 0
     for c in (1, 2):
         rows = out.filter(F.col("capacity_id") == c)
