@@ -5,8 +5,10 @@ by a linear-chain model decoded with Viterbi. A character that can't end a
 unit (no end mark, closing mark or space behind it) is inside whatever its
 neighbours are, so runs of them fold into one step of the chain and only
 the open places are scored. For scripts written without end marks the places
-are the spaces, or every character where there are no spaces either; their
-weights are trained on text with its punctuation stripped.
+are the spaces. In scripts written without spaces every character of a stretch
+that is longer than stretches between marks are, whatever marks stand elsewhere,
+is a place; their weights are trained on text with its punctuation stripped, and
+the usual length of stretches is learned there too.
 
 The layout fixes the rest: blank lines end a unit, list items are one unit each.
 """
@@ -20,23 +22,32 @@ from functools import cache
 from pathlib import Path
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = Path(__file__).with_name("models") / "sentences.json"
-END = ".!?。！？｡．؟।॥…‥۔"
-STRONG = "。！？｡．؟।॥۔!?"
+#: End marks of the scripts trained on, and those of all others in Unicode, which count like a danda.
+KNOWN_END = ".!?。！？｡．؟।॥…‥۔"
+END = KNOWN_END + "".join(c for c in map(chr, range(0x10000)) if c not in KNOWN_END and regex.match(r"\p{STerm}", c))
+AS_DANDA = str.maketrans({c: "।" for c in END[len(KNOWN_END) :]})
+STRONG = "".join(c for c in END if c not in ".…‥")
 PAIRS = {"“": "”", "‘": "’", "「": "」", "『": "』", "«": "»", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "〈": "〉", "„": "“", "‹": "›", "»": "«"}
+MARK = re.compile("[" + re.escape("\"'—–" + "".join(PAIRS) + "".join(PAIRS.values())) + "]")
 CLOSERS = "”’」』»）)]】》〉›"
 CLUSTER = re.compile(f"[{re.escape(END)}]+(?:[   ]?[{re.escape(END)}]+)*")
-SOUTHEAST = "฀-໿က-႟ក-៿"
+SOUTHEAST = "฀-໿"  # Thai and Lao, which write no end marks
+AS_THAI = {c: c - 0x80 for c in range(0x0E80, 0x0F00)}  # the two blocks run in parallel
 SPACED = re.compile(f"(?<=[{SOUTHEAST}”\"»)0-9A-Za-z])\\s+(?=[^\\s])")
 THAI = re.compile(f"[{SOUTHEAST}]")
 UNSPACED = re.compile("[぀-ヿ㐀-鿿]")
+STRETCH = regex.compile(r"[^\s\p{P}\p{S}]+")
+BARE_KEY, NEVER = "#bare", float("inf")
 ITEM = re.compile(r"\s*(?P<mark>[-–—•*·◦▪●○■□]|(?P<open>[（(]?)(?P<no>\d{1,3}|[一二三四五六七八九十]{1,3}|[a-zA-Z]|[ivxIVX]{1,4})(?P<close>[.)）．、])|[①-⑳㈠-㈩⒈-⒛])(?P<gap>\s*)")
 WORD_LEFT = re.compile(r"[^\s“”„«»\"'‘’（）()\[\]【】《》「」『』。！？!?…,，;；:：、]*$")
 WORD_RIGHT = re.compile(r"[^\s.!?。！？…,，;；:：“”„«»\"'‘’（）()、।؟]+")
+VOWEL = re.compile("[aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüýаеёиоуыэюяіїєαεηιουω]")
 DIGITS = re.compile(r"\d+")
 NEXT = re.compile(r"\S")
 LINE = re.compile(r"[^\r\n]+")
@@ -72,38 +83,46 @@ def _shape(c: str) -> str:
 
 
 def _pairs(text: str) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Closing position -> opening position, and all (open, close) spans, for quotes, brackets and dialogue dashes."""
+    """Closing position -> opening position, and all (open, close) spans, for quotes, brackets and dialogue dashes. Linear: every opening is put on the stack and taken off once."""
     stack: list[tuple[str, int]] = []
+    depths: dict[str, list[int]] = {}  # of each awaited closer, the depths it stands at
     back: dict[int, int] = {}
 
     def close(i: int, depth: int) -> None:
         back[i] = stack[depth][1]
-        del stack[depth:]
+        while len(stack) > depth:
+            depths[stack.pop()[0]].pop()
 
-    for i, c in enumerate(text):
+    def await_(c: str, i: int) -> None:
+        depths.setdefault(c, []).append(len(stack))
+        stack.append((c, i))
+
+    for m in MARK.finditer(text):
+        i, c = m.start(), m[0]
         before, after = text[i - 1 : i], text[i + 1 : i + 2]
-        top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
+        top = depths[c][-1] if depths.get(c) else None
         if c in "\"'":
             if top is not None and (c == '"' or not after.isalnum()):
                 close(i, top)
             elif c == '"' or (not before.isalnum() and after.isalnum()):
-                stack.append((c, i))
+                await_(c, i)
         elif c in "—–":
             if top is not None and before.isspace() and not after.isspace():
                 close(i, top)
             elif (i == 0 or before.isspace()) and after and not after.isspace():
-                stack.append((c, i))
-        elif top is not None and not (c == "“" and stack[top][0] == "“" and stack[top][1] == i):
+                await_(c, i)
+        elif top is not None:
             close(i, top)
         elif c in PAIRS and not (c == "»" and before.isspace() is False and before != "" and after.isspace()):
-            stack.append((PAIRS[c], i))
+            await_(PAIRS[c], i)
     return back, sorted((o, c) for c, o in back.items())
 
 
-def places(text: str) -> list[tuple[int, list[str]]]:
-    """Open places of a paragraph: (end of a possible unit, features), in order."""
+def places(text: str, bare: float | None = None) -> list[tuple[int, list[str]]]:
+    """Open places of a paragraph: (end of a possible unit, features), in order. `bare` is the length beyond which every character of a stretch of an unspaced script is a place (by default the learned one)."""
     if not text:
         return []
+    bare = weights()[BARE_KEY] if bare is None else bare
     back, spans = _pairs(text)
     found: list[tuple[int, str, int]] = []  # end, kind, start of the cluster
     for m in CLUSTER.finditer(text):
@@ -126,15 +145,19 @@ def places(text: str) -> list[tuple[int, list[str]]]:
         taken = {e for e, _, _ in found}
         found += [(m.start(), "space", m.start()) for m in SPACED.finditer(text) if m.start() not in taken and (THAI.match(text[m.start() - 1]) or THAI.match(text[m.end()]))]
         found.sort()
-    elif not found and len(text) > 40 and len(UNSPACED.findall(text)) > 0.6 * len(text):
-        return [(i, _bare(text, i)) for i in range(2, len(text) - 1) if not text[i - 1].isspace()]
-    out, last, depth_at = [], 0, 0
+    elif UNSPACED.search(text):
+        taken = {e for e, _, _ in found}
+        for m in STRETCH.finditer(text):
+            if m.end() - m.start() > bare and len(UNSPACED.findall(m[0])) > 0.6 * len(m[0]):
+                found += [(i, "bare", i) for i in range(m.start() + 2, m.end() - 1) if i not in taken]
+        found.sort()
+    out, last, at, reach = [], 0, 0, -1
     for e, kind, s in found:
-        while depth_at < len(spans) and spans[depth_at][1] < e:
-            depth_at += 1
-        inside = any(o < s and c >= e for o, c in spans[depth_at : depth_at + 50] if o < s)
-        out.append((e, _features(text, s, e, kind, inside, back, last)))
-        last = e
+        while at < len(spans) and spans[at][0] < s:  # spans come by their opening, so the furthest closing so far tells
+            reach = max(reach, spans[at][1])
+            at += 1
+        out.append((e, _bare(text, e) if kind == "bare" else _features(text, s, e, kind, reach >= e, back, last)))
+        last = last if kind == "bare" else e
     return out
 
 
@@ -145,12 +168,12 @@ def _features(text: str, s: int, e: int, kind: str, inside: bool, back: dict[int
     gap = "n" if "\n" in text[e:at] else "s" if at > e else "-"
     right = _shape(rest[:1]) + (_shape(rest[1:2]) if rest[:1].isalpha() and rest[:1].isascii() else "")
     if kind == "space":
-        left, ahead = DIGITS.sub("0", text[max(last, e - 14) : e]), DIGITS.sub("0", rest[:14])
+        left, ahead = DIGITS.sub("0", text[max(last, e - 14) : e]).translate(AS_THAI), DIGITS.sub("0", rest[:14]).translate(AS_THAI)
         out = ["S", f"S in{inside}", f"S{_shape(left[-1:])}{right}"]
         out += [f"SL{n}{left[-n:]}" for n in (2, 4, 6, 9)] + [f"SR{n}{ahead[:n]}" for n in (2, 4, 6, 9)]
         return out + [f"SX{left[-3:]}|{ahead[:3]}"]
     mark = text[s:e]
-    ends = "".join(dict.fromkeys(c for c in mark if c in END))
+    ends = "".join(dict.fromkeys(c for c in mark.translate(AS_DANDA) if c in END))
     if "..." in mark or len(ends) == 1 and ends == "." and mark.count(".") > 1:
         ends = "…"
     word = left_word(text, s)
@@ -172,6 +195,8 @@ def _features(text: str, s: int, e: int, kind: str, inside: bool, back: dict[int
     elif "." in ends and not inside:
         shape = "".join(dict.fromkeys(_shape(c) for c in word[-6:])) + ("1" if len(word) == 1 else "2" if len(word) <= 3 else "3")
         out += [f".{low}", f".{low}|{right}", f".{shape}|{gap}{right}", f".{shape}", f".{low}|{ahead}", f".{earlier}|{shape}|{right[:1]}", f".{'d' if '.' in word else '-'}{shape}|{gap}{right}"]
+        sound = "n" if not VOWEL.search(low) else "c" if not VOWEL.search(low[-2:]) else "v"
+        out += [f".{sound}{shape}|{right}", f".{sound}{shape}{'^' if not since[: -len(word)].strip() else ''}"]
     return out
 
 

@@ -20,6 +20,44 @@ import pyarrow.parquet as pq
 from lodeline.llm import sentences as S
 
 SAMPLE_DOCS, ROUNDS, SEED = 6_000, 6, 17
+TALK_ROUNDS = 250
+#: Labelled by hand: talks of sentences in order. {A} stands for an abbreviation that a name follows, {N} for a name.
+TALKS = """
+{A} {N} met {A} {N} at {A} {N}.|He left.|It was late.
+We saw {A} {N}.|She waved.|Then it rained.
+{A} {N} and {A} {N} live on {N} Rd. near the lake.|Do you know them?
+The parcel came from {N} Ltd. in {N}.|Nobody opened it.
+I like {N}.|He sings.|We all do.
+We met {N}.|He ran home.|Have you seen {N}?|No.
+The captain, {A} {N}, called {A} {N}.|They sailed to Ft. {N}.|She came too.
+My friend is called {N}.|{N} is ten.|She reads a lot.
+Read vol. 3 first.|Then see p. 14 and fig. 2 there.|That is all.
+It weighs approx. 5 kg.|That is a lot.
+The shop opens at 9 a.m. on Mondays.|It closes at 6 p.m.|Come early.
+Bring pens, paper, etc.|We start soon.
+He was born in {N} in 1990.|In 1998 he moved.
+Это г. {N}.|Он большой.|Мы живём на ул. {N}.
+Он родился в 1990 г. в деревне.|Потом он уехал.
+Мы купили хлеб, сыр и т. д.|Потом пошли домой.
+Проф. {N} читает лекцию.|Её слушают все.|Это интересно.
+У нас было 5 тыс. рублей.|Этого мало.
+Il sig. {N} abita in via {N}.|La dott. {N} è sua vicina.|Sono amici.
+Ho letto il cap. 4.|Era bello.|Poi ho dormito.
+O sr. {N} mora na av. {N}.|A dra. {N} é a vizinha.|Eles são amigos.
+Li o cap. 2.|Gostei muito.
+Dhr. {N} woont in de {N}str. in {N}.|Hij is aardig.|Zijn kat ook.
+Dat kost ca. 5 euro.|Dat is niet veel.
+Herr Dipl. {N} wohnt in {N}.|Er ist nett.|Das ist z. B. wichtig.
+Wir treffen uns am 3. Mai in {N}.|Danach gehen wir heim.
+Sie hat ca. 20 Hefte.|Die sind neu.
+M. {N} et Mme {N} habitent av. {N}.|Ils sont gentils.
+Voir p. 12 et suiv. pour la suite.|Merci.
+El Lic. {N} vive en la c. {N}.|Es amable.|Tiene aprox. 40 años.
+La Sra. {N} llegó con el Ing. {N}.|Comieron juntos.
+""".strip().split("\n")
+#: Abbreviations before a name, besides random ones.
+TITLES = "Gen Capt Ft Lt Sgt Maj Col Cpl Adm Rev Hon Mt St Gov Sen Rep Dr Prof Mr Mrs Ms Fr Br Sr Supt Insp Cmdr Pres Esq Msgr Dir Mgr Mlle Mme Hr Frl Sig Avv Ing Arq Lic Dra Sra Dña".split()
+SYLLABLES = "ba be bo da de di fa ga go ha he ja jo ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te to va ve wi za".split()
 #: Abbreviations that stand before something, and those that may end a sentence.
 BEFORE = set(
     "dr prof mrs mr ms st no nos nr p pp s abb fig figs ch chap cf vs e.g i.e approx avg b z d ca pág págs núm n.º sr sra srta dra m mme mlle mm av janv févr sept oct nov dec déc jan feb apr aug hr fr frau j k ee ص د पृ डॉ ver vol ed eds ej ex ext tel est art kap bd evtl ggf vgl bsp inkl sog u.a z.b d.h gen col sgt capt rev hon mt ft st. p.ej p.ex v al आदि".split()
@@ -32,7 +70,7 @@ def silver(text: str) -> list[int]:
     """Labels of the places of a paragraph that has end marks."""
     back, spans = S._pairs(text)
     out, last = [], 0
-    for e, _ in S.places(text):
+    for e, _ in S.places(text, S.NEVER):
         s = e
         while s > last and (text[s - 1] in S.END or s - 1 in back or text[s - 1] in S.CLOSERS or text[s - 1] in "   "):
             s -= 1
@@ -91,6 +129,34 @@ def _is_end(text: str, s: int, e: int, back: dict, spans: list, last: int) -> bo
     return True
 
 
+def talk(line: str, pick: random.Random) -> tuple[str, set[int]]:
+    """A text of hand-labelled sentences, with names and abbreviations put in, and where its sentences end."""
+
+    def name(_: re.Match) -> str:
+        word = "".join(pick.choices(SYLLABLES, k=pick.choice([1, 2, 2, 3]))) + pick.choice(["", "", "n", "r", "l", "s", "ck", "th"])
+        return word.title() if len(word) > 2 else word.title() + "b"
+
+    def short(_: re.Match) -> str:
+        return (pick.choice(TITLES) if pick.random() < 0.6 else "".join(pick.choices("bcdfghklmnprstvwz", k=pick.choice([2, 2, 3]))).title()) + "."
+
+    text, ends = "", set()
+    for sentence in line.split("|"):
+        text += (" " if text else "") + re.sub(r"\{A\}", short, re.sub(r"\{N\}", name, sentence))
+        ends.add(len(text))
+    return text, ends
+
+
+def usual_stretch(docs: list[str]) -> int:
+    """The length that all but one in a thousand stretches between marks have at most, in paragraphs of unspaced scripts that are written with marks."""
+    lengths = []
+    for text in docs:
+        for s, e, _ in S.blocks(text):
+            if S.UNSPACED.search(text[s:e]) and S.CLUSTER.search(text[s:e]):
+                lengths += [len(m[0]) for m in S.STRETCH.finditer(text[s:e]) if len(S.UNSPACED.findall(m[0])) > 0.6 * len(m[0])]
+    lengths.sort()
+    return lengths[int(0.999 * (len(lengths) - 1))] if lengths else 40
+
+
 def edges(docs: list[str]) -> tuple[Counter, Counter]:
     """How paragraphs of scripts without end marks begin and end."""
     begin, end = Counter(), Counter()
@@ -105,9 +171,9 @@ def edges(docs: list[str]) -> tuple[Counter, Counter]:
 
 def spaced_labels(text: str, begin: Counter, end: Counter) -> list[int]:
     """Labels of a paragraph of a script without end marks: a place between a usual end and a usual beginning is a boundary."""
-    marked, out = dict(zip([e for e, _ in S.places(text)], silver(text), strict=True)), []
+    marked, out = dict(zip([e for e, _ in S.places(text, S.NEVER)], silver(text), strict=True)), []
     back, spans = S._pairs(text)
-    for e, feats in S.places(text):
+    for e, feats in S.places(text, S.NEVER):
         if feats[0] != "S":
             out.append(marked[e])
             continue
@@ -121,14 +187,14 @@ def spaced_labels(text: str, begin: Counter, end: Counter) -> list[int]:
 
 def stripped(text: str) -> tuple[str, list[int]] | None:
     """A paragraph of an unspaced script without its punctuation, and the labels of its places."""
-    cuts, chars, ends = set(e for (e, _), y in zip(S.places(text), silver(text), strict=True) if y), [], set()
+    cuts, chars, ends = set(e for (e, _), y in zip(S.places(text, S.NEVER), silver(text), strict=True) if y), [], set()
     for i, c in enumerate(text):
         if i in cuts:
             ends.add(len(chars))
         if c.isalnum():
             chars.append(c)
     bare = "".join(chars)
-    found = S.places(bare)
+    found = S.places(bare, 0)
     return (bare, [int(e in ends) for e, _ in found]) if found and found[0][1][0] == "B" else None
 
 
@@ -162,23 +228,33 @@ def main(data: str, out: str = str(S.MODEL)) -> None:
     random.Random(SEED).shuffle(texts)
     held, docs = texts[SAMPLE_DOCS : SAMPLE_DOCS + 1_500], texts[:SAMPLE_DOCS]
     begin, end = edges(docs)
+    usual = usual_stretch(docs)
+    pick = random.Random(SEED)
+    talks = []
+    for _ in range(TALK_ROUNDS):
+        for line in TALKS:
+            text, ends = talk(line, pick)
+            found = S.places(text, S.NEVER)
+            talks.append(([f for _, f in found], [b - a for a, b in zip([0] + [x for x, _ in found], [x for x, _ in found], strict=False)], [int(e in ends) for e, _ in found]))
 
     def chains_of(some: list[str]) -> list:
         chains = []
         for text in some:
             for s, e, item in S.blocks(text):
                 part = text[s:e]
-                found = [] if item else S.places(part)
-                if not found or found[0][1][0] == "B":
+                found = [] if item else S.places(part, usual)
+                if not found:
                     continue
-                gold = spaced_labels(part, begin, end) if S.THAI.search(part) else silver(part)
+                marked = [e for e, _ in S.places(part, S.NEVER)]
+                yes = {e for e, y in zip(marked, spaced_labels(part, begin, end) if S.THAI.search(part) else silver(part), strict=True) if y}
+                gold = [int(e in yes) for e, _ in found]
                 chains.append(([f for _, f in found], [b - a for a, b in zip([0] + [x for x, _ in found], [x for x, _ in found], strict=False)], gold))
                 if S.UNSPACED.search(part) and len(part) < 400 and (bare := stripped(part)):
-                    found = S.places(bare[0])
+                    found = S.places(bare[0], 0)
                     chains.append(([f for _, f in found], [1] * len(found), bare[1]))
         return chains
 
-    w = train(chains_of(docs))
+    w = train(chains_of(docs) + talks) | {S.BARE_KEY: usual}
     with open(out, "w", encoding="utf-8") as file:
         json.dump(dict(sorted(w.items())), file, ensure_ascii=False, separators=(",", ":"))
     right = tp = fp = fn = 0
