@@ -41,6 +41,18 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("table_name", "scope", "chunk_id", "piece_no", "start_pos", "end_pos", "shared_chars", "cut_kind", "piece")
 
 
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put together again from its pieces, against the text itself; `within` says that no piece is longer than allowed."""
+    limits = _limits(spark, d)
+
+    def op(df: DataFrame, text: str, keys: list[str], most: int, overlap: int) -> DataFrame:
+        rows = df.select(*keys, text, F.sha2(text, 256).alias("of")).distinct()
+        return splitting.rebuilt(splitting.split_oversized(rows, text, [*keys, "of"], most, overlap), [*keys, "of"])
+
+    longest = F.coalesce(*[F.when(F.col("table_name") == name, most) for name, (most, _) in limits.items()])
+    return _p1(spark, d, op).select("table_name", "scope", "chunk_id", "chars", "sha256", (F.col("longest") <= longest).alias("within"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     messages = table(spark, d, "education_messages")
     return dialogue.thread_defects(dialogue.linked(messages), messages, table(spark, d, "education_conversations"))
@@ -126,7 +138,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_redacted, p5_found, p6_found, p6_containers, p6_fill, p6_checked, p7_found, p7_mix, p7_report, p8_found)
+    for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_redacted, p5_found, p6_found, p6_containers, p6_fill, p6_checked, p7_found, p7_mix, p7_report, p8_found)
 }
 
 _P1 = """SELECT DISTINCT '{name}' AS table_name, {scope} AS scope, chunk_id,
@@ -144,6 +156,9 @@ o AS (SELECT *, lag(speaker) OVER w AS prev_speaker, lag(content) OVER w AS prev
 
 ORACLE: dict[str, str] = {
     "p1_found": _P1.format(name="education_vector_chunks", scope="collection_name", text="document", most=501) + " UNION ALL " + _P1.format(name="lexical_documents", scope="namespace", text="text", most=601),
+    "p1_rebuilt": " UNION ALL ".join(
+        f"SELECT DISTINCT '{name}' AS table_name, {scope} AS scope, chunk_id, length({text}) AS chars, sha256({text}) AS sha256, true AS within FROM {name} WHERE {text} IS NOT NULL" for name, (scope, text) in SPLIT.items()
+    ),
     "p2_found": "WITH " + _DIALOGUE + """,
 t AS (SELECT thread_id FROM education_conversations UNION SELECT thread_id FROM education_messages),
 e AS (SELECT thread_id FROM t WHERE thread_id NOT IN (SELECT thread_id FROM dm WHERE NOT blank))

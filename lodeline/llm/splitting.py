@@ -1,17 +1,19 @@
 """Problem 1: cutting oversized texts at natural boundaries.
 
-Method: structure-tree packing. A text over the limit is parsed into a tree
-(sections by headings, blocks by blank lines, list items and lines, sentences,
-clauses, words). Subtrees that fit are units; adjacent sibling units are merged
-from the left up to the limit; only oversized nodes are descended into. Inside
-a run without any separator that alone exceeds the largest piece there is no
-natural place, and the cut is `hard`.
+Method: structure-tree packing. A text over the limit is parsed into a tree:
+sections nested by the depth of their headings, blocks parted by blank lines or
+markup, lists with items nested by indentation, then sentences, lines, clauses
+and words. Subtrees that fit are units; adjacent sibling units are merged from
+the left up to the limit; only oversized nodes are descended into. Inside a run
+without any separator that alone exceeds the largest piece there is no natural
+place, and the cut is `hard`.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import regex
@@ -24,13 +26,19 @@ from lodeline.llm.common import keyed, renamed
 HEADING = regex.compile(
     r"""^[^\S\n]*(?:(?P<hash>\#{1,6})[^\S\n]+\S
     |<h(?P<tag>[1-6])[\s>]
-    |第[\d一二三四五六七八九十百]+[课課章节節单單部回][^。！？\n]{0,40}$
-    |[一二三四五六七八九十]+、[^。！？\n]{0,40}$
-    |(?:unit|lesson|chapter|part|le[çc]on|lektion|kapitel|lecci[óo]n|tema|บทที่|पाठ|الدرس)\s*\d+[^\n.!?。！？]{0,60}$
-    |\d+(?:\.\d+)+\s+[^\n.!?。！？]{1,60}$)""",
+    |第[\d一二三四五六七八九十百]+(?P<han>[课課章节節单單部回])[^。！？\n]{0,40}$
+    |(?P<count>[一二三四五六七八九十]+)、[^。！？\n]{0,40}$
+    |(?P<word>part|partie|teil|parte|unit|chapter|chapitre|kapitel|cap[íi]tulo|tema|lesson|le[çc]on|lektion|lecci[óo]n|บทที่|पाठ|الدرس)\s*\d+[^\n.!?。！？]{0,60}$
+    |(?P<dots>\d+(?:\.\d+)+)\s+[^\n.!?。！？]{1,60}$)""",
     regex.X | regex.M | regex.I,
 )
-BLOCK = regex.compile(r"\n[^\S\n]*\n\s*")
+#: Depths of headings that state their kind; numbers such as 1.1 lie below them.
+DEPTH = dict.fromkeys("部", 1) | dict.fromkeys("单單章", 2) | dict.fromkeys("课課回", 3) | dict.fromkeys("节節", 4)
+PARTS, CHAPTERS = ("part", "partie", "teil", "parte"), ("unit", "chapter", "chapitre", "kapitel", "capítulo", "capitulo", "tema")
+ITEM = regex.compile(r"^(?P<indent>[^\S\n]*)(?:[-*+•◦▪●○■□–—·]|[(（]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4}|[一二三四五六七八九十]{1,3})[.)）．、]|[①-⑳])[^\S\n]*\S", regex.M)
+#: Indents of lists are told apart up to this many characters.
+DEEPEST = 64
+BLOCK = regex.compile(r"\n[^\S\n]*\n\s*|</(?:p|li|ul|ol|div|section|article|table|tr|h[1-6]|blockquote|pre)>\s*|<(?:br|hr)\s*/?>\s*", regex.I)
 LINE = regex.compile(r"\n+")
 SENTENCE = regex.compile(r"""(?:[。！？｡．…؟।॥]+|[.!?]+(?=[\s"'”’」』»)\]）]))["'”’」』»)\]）]*\s*""")
 CLAUSE = regex.compile(r"""[,;:，、；：،؛—–]+["'”’」』»)\]）]*\s*""")
@@ -40,36 +48,59 @@ RUN = regex.compile(r"[^\s\p{P}\p{Z}]+")
 OUT = ("piece_no", "start_pos", "end_pos", "shared_chars", "cut_kind", "piece")
 
 
-def _sections(text: str, s: int, e: int) -> list[int]:
-    """Starts of the shallowest headings inside the node, without its own first line."""
-    found = [(m.start(), len(m["hash"] or "") or int(m["tag"] or 2)) for m in HEADING.finditer(text, s, e)]
-    found = [(p, d) for p, d in found if p > s]
-    top = min((d for _, d in found), default=0)
-    return [p for p, d in found if d == top]
+def _depth(m: regex.Match) -> int:
+    if m["hash"] or m["tag"]:
+        return len(m["hash"] or "") or int(m["tag"])
+    if m["han"]:
+        return DEPTH[m["han"]]
+    if m["word"]:
+        word = m["word"].casefold()
+        return 1 if word in PARTS else 2 if word in CHAPTERS else 3
+    return 3 + m["dots"].count(".") if m["dots"] else 5
 
 
-def _ends(pattern: regex.Pattern, text: str, s: int, e: int) -> list[int]:
-    return [m.end() for m in pattern.finditer(text, s, e) if m.end() < e]
+class _Text:
+    """A text with its headings and list items, found once."""
 
+    def __init__(self, text: str) -> None:
+        self.text = text
+        heads = [(m.start(), _depth(m)) for m in HEADING.finditer(text)]
+        items = [(m.start(), min(len(m["indent"]), DEEPEST)) for m in ITEM.finditer(text)]
+        self.nested = [([p for p, _ in marks], [d for _, d in marks]) for marks in (heads, items)]
 
-LEVELS = [_sections] + [lambda t, s, e, p=p: _ends(p, t, s, e) for p in (BLOCK, LINE, SENTENCE, CLAUSE, WORD)]
+    def outer(self, which: int, s: int, e: int) -> list[int]:
+        """Starts of the outermost headings or items inside a node, without its own first line."""
+        at, depth = self.nested[which]
+        lo, hi = bisect_right(at, s), bisect_left(at, e)
+        top = min(depth[lo:hi], default=0)
+        return [at[i] for i in range(lo, hi) if depth[i] == top]
 
+    def ends(self, pattern: regex.Pattern, s: int, e: int) -> list[int]:
+        return [m.end() for m in pattern.finditer(self.text, s, e) if m.end() < e]
 
-def _units(text: str, s: int, e: int, level: int, limit: int, most: int) -> list[tuple[int, int, bool]]:
+
+#: Ways to cut a node, from the outside in, and whether what they yield may be cut the same way again.
+LEVELS: list[tuple[Callable[[_Text, int, int], list[int]], bool]] = [
+    (lambda t, s, e: t.outer(0, s, e), True), (lambda t, s, e: t.ends(BLOCK, s, e), False), (lambda t, s, e: t.outer(1, s, e), True),
+    *((lambda t, s, e, p=p: t.ends(p, s, e), False) for p in (SENTENCE, LINE, CLAUSE, WORD)),
+]
+
+
+def _units(t: _Text, s: int, e: int, level: int, limit: int, most: int) -> list[tuple[int, int, bool]]:
     """Packed units (start, end, ends in a hard cut) that tile [s, e)."""
     if e - s <= limit:
         return [(s, e, False)]
     while level < len(LEVELS):
-        cuts = LEVELS[level](text, s, e)
+        cuts = LEVELS[level][0](t, s, e)
         if cuts:
             break
         level += 1
     else:
-        return _leaf(text, s, e, limit, most)
-    again = level if level == 0 else level + 1  # sections nest by depth, the other levels don't
+        return _leaf(t.text, s, e, limit, most)
+    again = level if LEVELS[level][1] else level + 1
     packed: list[tuple[int, int, bool]] = []
     for a, b in zip([s, *cuts], [*cuts, e], strict=True):
-        for unit in _units(text, a, b, again, limit, most):
+        for unit in _units(t, a, b, again, limit, most):
             if packed and not packed[-1][2] and unit[1] - packed[-1][0] <= limit:
                 packed[-1] = (packed[-1][0], unit[1], unit[2])
             else:
@@ -106,7 +137,7 @@ def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
     if len(text) <= max_chars:
         return [(0, len(text), 0, "soft")]
     pieces = []
-    for s, e, hard in _units(text, 0, len(text), 0, max_chars - overlap, max_chars):
+    for s, e, hard in _units(_Text(text), 0, len(text), 0, max_chars - overlap, max_chars):
         shared = min(overlap, max_chars - (e - s), s)
         pieces.append((s - shared, e, shared, "hard" if hard else "soft"))
     return pieces
@@ -144,3 +175,10 @@ def cut_kinds(df: DataFrame, text_col: str, keys: Sequence[str], max_chars: int,
     """`keys` and cut_kind of every text over the limit: `hard` if one of its pieces ends in a hard cut, else `soft`."""
     long = df.filter(F.length(text_col) > max_chars)
     return split_oversized(long, text_col, keys, max_chars, overlap_chars).groupBy(*keys).agg(F.min("cut_kind").alias("cut_kind"))
+
+
+def rebuilt(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys`, chars, sha256, longest: each text put together again from its pieces without what they share, its length and digest, and the length of its longest piece."""
+    own = F.struct("piece_no", F.expr("substring(piece, shared_chars + 1)").alias("own"))
+    whole = pieces.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["own"]), "").alias("text"), F.max(F.length("piece")).cast("long").alias("longest"))
+    return whole.select(*keys, F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"), "longest")

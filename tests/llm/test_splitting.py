@@ -32,6 +32,28 @@ def test_structure_first():
     assert [text[s:e].startswith("# ") for s, e, *_ in pieces] == [True, True]
 
 
+def test_wrapped_lines_do_not_beat_sentences():
+    prose = " ".join(f"This is sentence number {i} of a page with many small words in it." for i in range(60))
+    wrapped = re.sub(r"(.{1,58}) ", r"\1\n", prose)
+    pieces = splitting.split_text(wrapped, 501, 40)
+    assert len(pieces) > 8 and all(wrapped[:e].rstrip().endswith(".") for _, e, *_ in pieces)
+
+
+def test_lists_nest():
+    items = "".join(f"- item {i}\n" + "".join(f"  - part {i}.{k} with some words\n" for k in range(4)) for i in range(8))
+    pieces = splitting.split_text("Things:\n" + items, 250, 0)
+    assert all(("Things:\n" + items)[s:].startswith("- item") for s, *_ in pieces[1:])
+    deep = splitting.split_text("- a\n" + "".join(f"  - b{k} some words here. And more\n" for k in range(30)), 200, 0)
+    assert all(x[0] == 0 or ("- a\n" + "".join(f"  - b{k} some words here. And more\n" for k in range(30)))[x[0] :].startswith("  - b") for x in deep)
+
+
+def test_headings_have_depths():
+    text = "".join(f"第{c}章 头\n\n" + "".join(f"第{n}节 名\n\n" + "字句。" * 12 + "\n\n" for n in "一二三") for c in "一二三四")
+    pieces = splitting.split_text(text, 150, 0)
+    assert [text[s:][:3] for s, *_ in pieces] == ["第一章", "第二章", "第三章", "第四章"]
+    assert len(splitting.split_text("<p>" + "word " * 30 + "</p><p>" + "term " * 30 + "</p>", 160, 0)) == 2
+
+
 def test_runs_too_long_to_share():
     text = "x" * 95 + " " + "y" * 95
     pieces = splitting.split_text(text, 100, 20)
