@@ -123,30 +123,33 @@ def estimate(codes: Codes, query: np.ndarray, centre: np.ndarray, turn: np.ndarr
     return inside, np.linalg.norm(rest, axis=1)[:, None] * spread
 
 
-def search_block(data: np.ndarray, query: np.ndarray, same: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def search_block(data: np.ndarray, query: np.ndarray, same: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, exact_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Indexes and cosines (n, k) of the best vectors for each query; index -1 where there are fewer. `same[i]` is the query's own place in data, or -1.
 
-    The best 4k by estimate are compared exactly; every other vector whose upper bound reaches the k-th cosine found so is compared too.
+    The best 4k by estimate are compared exactly; every other vector whose upper bound reaches the k-th cosine found so is compared too. With exact_only all are compared, without codes.
     """
     small, turned = data.astype(np.float32), query.astype(np.float32)
-    codes = encode(small, centre, turn)
+    codes = None if exact_only else encode(small, centre, turn)
     index, value = np.full((len(query), k), -1), np.full((len(query), k), -2.0)
     first = min(4 * k, len(data))
     for s in range(0, len(query), 256):
         q = turned[s : s + 256]
-        guess, bound = estimate(codes, q, centre, turn)
         own = same[s : s + 256]
         has = np.flatnonzero(own >= 0)
-        guess[has, own[has]] = -9
-        seed = np.argpartition(-guess, first - 1, axis=1)[:, :first] if first < len(data) else np.tile(np.arange(first), (len(q), 1))
-        exact = np.full(guess.shape, -2, np.float32)
-        np.put_along_axis(exact, seed, np.einsum("ijd,id->ij", small[seed], q), 1)
-        exact[has, own[has]] = -2
-        kth = -np.partition(-exact, min(k, len(data)) - 1, axis=1)[:, min(k, len(data)) - 1]
-        row, col = np.nonzero((guess + bound >= kth[:, None]) & (exact == -2))
-        for t in range(0, len(row), 65_536):
-            r, c = row[t : t + 65_536], col[t : t + 65_536]
-            exact[r, c] = np.einsum("ij,ij->i", small[c], q[r])
+        if codes is None:
+            exact = q @ small.T
+        else:
+            guess, bound = estimate(codes, q, centre, turn)
+            guess[has, own[has]] = -9
+            seed = np.argpartition(-guess, first - 1, axis=1)[:, :first] if first < len(data) else np.tile(np.arange(first), (len(q), 1))
+            exact = np.full(guess.shape, -2, np.float32)
+            np.put_along_axis(exact, seed, np.einsum("ijd,id->ij", small[seed], q), 1)
+            exact[has, own[has]] = -2
+            kth = -np.partition(-exact, min(k, len(data)) - 1, axis=1)[:, min(k, len(data)) - 1]
+            row, col = np.nonzero((guess + bound >= kth[:, None]) & (exact == -2))
+            for t in range(0, len(row), 65_536):
+                r, c = row[t : t + 65_536], col[t : t + 65_536]
+                exact[r, c] = np.einsum("ij,ij->i", small[c], q[r])
         exact[has, own[has]] = -2
         take = min(k, len(data))
         best = np.argpartition(-exact, take - 1, axis=1)[:, :take] if take < len(data) else np.tile(np.arange(take), (len(q), 1))
@@ -201,14 +204,15 @@ def _fit(base: DataFrame, sizes: dict[str, int], cells: int | None, dim: int) ->
     return centres, counts
 
 
-def nearest_vectors(df: DataFrame, scope_col: str, id_col: str, vec_col: str, dim: int = 64, k: int = 5, min_cosine: float = -1.0, cells: int | None = None, probes: int | None = None) -> DataFrame:
+def nearest_vectors(df: DataFrame, scope_col: str, id_col: str, vec_col: str, dim: int = 64, k: int = 5, min_cosine: float = -1.0, cells: int | None = None, probes: int | None = None, exact: bool = False) -> DataFrame:
     """For every usable vector the k most similar others of its scope: columns scope, id, neighbour, cosine, rank.
 
     Vectors that are null, of another length than dim, not finite or all zero take no part; null scopes form a scope of their own, rows with a null id are left out. Repeated rows (same
     id and vector) count once. Cosines below min_cosine are left out. Equal cosines are ranked by id; between different vectors at exactly the k-th cosine within a cell the choice is by place.
     Copies of a vector are each other's neighbours at cosine 1. A scope with k others or fewer gives what there is; an empty table gives no rows. Columns besides the three are left out.
     Approximate in scopes of more than BLOCK_ROWS different vectors, of which `probes` of `cells` cells are searched (default by size of the scope) and further ones, nearest first, while they hold
-    fewer than k others. Smaller scopes are one cell, where the result differs from brute force only where the error bound fails. With `cells` given, scopes of up to 16 vectors a cell are one cell.
+    fewer than k others. Smaller scopes are one cell, where the result differs from brute force only where the error bound fails. With `cells` given, scopes of up to 16 vectors a cell are one cell. `exact` is the exact way for scopes of any size:
+    each is one cell, cut into blocks of which every pair is compared in full, at a cost that grows with the square of the scope.
     """
     spark = df.sparkSession
     base = (
@@ -217,6 +221,7 @@ def nearest_vectors(df: DataFrame, scope_col: str, id_col: str, vec_col: str, di
         .withColumn("h1", F.xxhash64(F.lit(1), "vec")).withColumn("h2", F.xxhash64(F.lit(2), "vec"))
     )
     keys = base.select("scope", "h1", "h2").distinct()
+    cells, probes = (1, 1) if exact else (cells, probes)
     whole = min(BLOCK_ROWS, 16 * cells) if cells else BLOCK_ROWS
     sizes = {r.scope: r.n for r in keys.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole).collect()}  # at most one in `whole` vectors
     turn = rotation(dim)
@@ -268,7 +273,7 @@ def nearest_vectors(df: DataFrame, scope_col: str, id_col: str, vec_col: str, di
             asks = asks[:0]
         place_of = {(a, b): i for i, (a, b) in enumerate(zip(h1[there].tolist(), h2[there].tolist(), strict=True))}
         same = np.array([place_of.get(x, -1) for x in zip(h1[asks].tolist(), h2[asks].tolist(), strict=True)], np.int64)
-        index, value = search_block(rows[there], rows[asks], same, rows[there].mean(axis=0).astype(np.float32), turn, k) if len(asks) else (np.zeros((0, k), np.int64), np.zeros((0, k)))
+        index, value = search_block(rows[there], rows[asks], same, rows[there].mean(axis=0).astype(np.float32), turn, k, exact) if len(asks) else (np.zeros((0, k), np.int64), np.zeros((0, k)))
         keep = (index >= 0) & (value >= min_cosine)
         some = np.flatnonzero(keep.any(axis=1))
         which = there[index[keep]]

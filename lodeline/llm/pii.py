@@ -4,7 +4,7 @@ Method: a character-level bidirectional LSTM with CRF transitions, trained in
 numpy from labelled spans (see train_pii). Texts are read in overlapping
 windows; where windows overlap, their scores are blended by how central a
 character is, and one Viterbi pass over the whole text decides globally, so no
-span is cut at a window's edge. An exact check trims and validates what was found.
+span is cut at a window's edge. What was found is trimmed, and no more.
 """
 
 from __future__ import annotations
@@ -189,66 +189,27 @@ def tagger() -> Tagger:
         return Tagger(dict(z))
 
 
-EMAIL = re.compile(
-    r"(?<![A-Za-z0-9._+\-])[A-Za-z0-9０-９][A-Za-z0-9０-９.．_+\-]*\s?(?:@|＠|\(at\)|\[at\]|（at）)\s?[A-Za-z0-9\-]+(?:(?:\.|．|\s?\((?:dot)\)\s?|\s?\[dot\]\s?)[A-Za-z0-9\-]+)+",
-    re.I,
-)
-DIGITISH = "0-9０-９" + HAN_DIGITS
-NUMBER_RUN = re.compile(rf"(?:[(（][+＋]?[{DIGITISH}]{{1,4}}[)）]|[+＋]?[{DIGITISH}]+)(?:[ \-./／]{{0,2}}(?:\(0\))?[{DIGITISH}]+)*")
-#: Forms of numbering plans and of identity numbers, by which the type of a number that was found is settled.
-PHONE_FORM = re.compile(r"\+.*|\(?0\d{2,4}\)?[ \-./\d]{5,12}|1-\d{3}-\d{3}-\d{4}|\(?[2-9]\d\d\)?[ .\-]{1,2}\d{3}[ .\-]\d{4}|\d{3}-\d{4}|(?:0086-)?1[3-9]\d[ \-]?\d{4}[ \-]?\d{4}")
-ID_FORM = re.compile(r"0{3}[ \-]\d\d[ \-]\d{4}|[A-Z]{1,2} ?\d\d ?\d\d ?\d\d ?[A-Z]|\d{8}-?[A-Z]|[A-Z]?\d{6} ?\d{8} ?\d{3}[\dXx]|[A-Z]\d{8}|[A-Z]\d{5}[A-Z]\d\d|[12789] \d\d \d\d \d\d \d{3} \d{3} \d\d")
-PARTICLE = re.compile(r"(?<![\w'])(?:d['’]|(?:del|de la|le|la|van|van der|von|von der|di|da|st\.) )$", re.I)
 EDGE = " \t\r\n　,，.。;；:：!！?？、\"'“”‘’「」『』《》<>[]【】—–-_*…"
-
-
-def checked(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
-    """The span trimmed to what belongs to it, or None if it can't be of its type."""
-    if kind == "email":
-        m = next((m for m in EMAIL.finditer(text, max(0, s - 60), min(len(text), e + 60)) if m.start() < e and m.end() > s), None)
-        return m.span() if m else None
-    while s < e and (text[s] in EDGE or text[s] in "）)" or text[s] in "（(" and (kind != "phone" or text.find("）" if text[s] == "（" else ")", s, e) < 0)):
+WORDY = re.compile(r"[A-Za-z0-9０-９]+|[^\W\d_㐀-鿿]+")
+
+
+def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    """A span of the network without the marks around it: an edge inside a word or number moves to that word's nearer end, marks and brackets without their partner are cut off."""
+    for m in WORDY.finditer(text, max(0, s - 40), min(len(text), s + 40)):
+        if m.start() < s < m.end():
+            s = m.start() if m.end() - s >= s - m.start() else m.end()
+            break
+    for m in WORDY.finditer(text, max(s, e - 40), min(len(text), e + 40)):
+        if m.start() < e < m.end():
+            e = m.end() if e - m.start() >= m.end() - e else m.start()
+            break
+    while s < e and (text[s] in EDGE or text[s] in "）)" or text[s] in "（(" and text.find("）" if text[s] == "（" else ")", s, e) < 0):
         s += 1
     while s < e and (text[e - 1] in EDGE or text[e - 1] in "（(" or text[e - 1] in "）)" and text.rfind("（" if text[e - 1] == "）" else "(", s, e) < 0):
         e -= 1
-    if kind == "phone":
-        m = next((m for m in NUMBER_RUN.finditer(text, max(0, s - 24), min(len(text), e + 24)) if m.start() < e and m.end() > s), None)
-        if m and m.end() - m.start() != e - s and sum(c in HAN_DIGITS or c.isdigit() for c in m[0]) <= 15:
-            s, e = m.span()
-        while s < e and text[s] in "（(" and text[s:e].count(text[s]) > text[s:e].count("）" if text[s] == "（" else ")"):
-            s += 1
-        while s < e and text[e - 1] in "）)" and text[s:e].count(text[e - 1]) > text[s:e].count("（" if text[e - 1] == "）" else "("):
-            e -= 1
-        digits = sum(c in HAN_DIGITS or c.isdigit() for c in text[s:e])
-        return (s, e) if 7 <= digits <= 15 else None
-    if kind == "id_number":
-        while e < len(text) and text[e].isalnum() and (text[e].isdigit() or text[e] in "XxＸｘ") and text[e - 1].isalnum():
-            e += 1
-        while s and text[s - 1].isalnum() and (text[s - 1].isdigit() or text[s - 1].isascii() and text[s - 1].isupper()) and text[s].isalnum():
-            s -= 1
-        return (s, e) if sum(c.isdigit() for c in text[s:e]) >= 5 else None
-    if kind == "name":
-        if not any("㐀" <= c <= "鿿" for c in text[s:e]):  # to whole words, and the particle of a family name before them
-            while s and text[s - 1].isalpha() and text[s - 1] < "㐀":
-                s -= 1
-            grown = e
-            while grown < len(text) and text[grown].isalpha() and text[grown] < "㐀":
-                grown += 1
-            inside = e - max(text.rfind(x, s, e) for x in " ,-")
-            e = grown if grown - e <= inside else text.rfind(" ", s, e)
-            led = PARTICLE.search(text, max(0, s - 9), s)
-            s = led.start() if led else s
-            while (m := re.compile(r"(?:van|von|der|del|de|la|le)", re.I).fullmatch(text, text.rfind(" ", s, e) + 1, e)) and (more := re.compile(r" [^\W\d_]+").match(text, e)) and m.start() > s:
-                e = more.end()
-            words = text[s:e].split(" ")
-            if len(words) > 2 and words[0].islower() and words[1][:1].isupper() and not PARTICLE.match(words[0] + " ") and "'" not in words[0] and words[0] not in ("van", "von", "del", "de", "le", "la"):
-                s += len(words[0]) + 1
-        letters = sum(c.isalpha() for c in text[s:e])
-        han = sum("㐀" <= c <= "鿿" for c in text[s:e])
-        if any(c.isdigit() for c in text[s:e]) or (han and not 2 <= han <= 5) or (not han and (letters < 4 or not re.search(r"[\s,]", text[s:e]))):
-            return None
-        return s, e
-    return (s, e) if e - s >= 4 and any(c.isdigit() or c in HAN_DIGITS for c in text[s:e]) or "," in text[s:e] and e - s >= 8 else None
+    while e - s > 1 and text[s] in "（(" and text[e - 1] in "）)" and text.find(text[e - 1], s, e) == e - 1:  # brackets around the whole
+        s, e = s + 1, e - 1
+    return s, e
 
 
 def find_spans(texts: Sequence[str], model: Tagger | None = None) -> list[list[tuple[int, int, str]]]:
@@ -266,15 +227,9 @@ def find_spans(texts: Sequence[str], model: Tagger | None = None) -> list[list[t
                 e += 1
             while i < len(hits) and hits[i] < e:
                 i += 1
-            good = checked(text, kind, s, e)
-            if good and kind in ("phone", "id_number"):
-                put = text[good[0] : good[1]]
-                other = {"phone": "id_number", "id_number": "phone"}[kind]
-                forms = {"phone": PHONE_FORM, "id_number": ID_FORM}
-                if forms[other].fullmatch(put) and not forms[kind].fullmatch(put):
-                    kind = other
-            if good and good[0] < good[1] and (not spans or good[0] >= spans[-1][1]):
-                spans.append((*good, kind))
+            s, e = trimmed(text, s, e)
+            if s < e and (not spans or s >= spans[-1][1]):
+                spans.append((s, e, kind))
         out.append(spans)
     return out
 

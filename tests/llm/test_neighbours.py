@@ -75,3 +75,14 @@ def test_further_cells_where_the_nearest_hold_too_few(spark):
     centre, counts = np.eye(4, 64, dtype=np.float32), np.array([2, 0, 1, 9])
     at, cell, home = neighbours.probed(np.array([7]), np.array([[1, 0.5, 0.2, 0.1] + [0] * 60], np.float32), centre, counts, 1, 2)
     assert at.tolist() == [7, 7, 7] and cell.tolist() == [0, 1, 2] and home.tolist() == [True, False, False]
+
+
+def test_exact_way_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 300)
+    rows = np.random.default_rng(9).standard_normal((1_000, 16)).astype(np.float32)
+    df = spark.createDataFrame([("s", i, r.tolist()) for i, r in enumerate(rows)], "scope string, id int, vec array<float>")
+    got = {(r.id, r.neighbour) for r in neighbours.nearest_vectors(df, "scope", "id", "vec", dim=16, k=5, exact=True).collect()}
+    u = rows.astype(np.float64) / np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -2)
+    assert got == {(i, int(j)) for i in range(1_000) for j in np.argsort(-c[i])[:5]}
