@@ -37,52 +37,59 @@ class _Parser:
         self.at += 1
         return self.items[self.at - 1]
 
-    def sums(self, depth: int) -> float:
-        value = self.products(depth + 1)
+    def sums(self) -> tuple[float, int]:
+        """Value and height of the operations below: a number has none, an operation one more than its higher side. Brackets add nothing, so a long sum is as high as it has signs."""
+        value, high = self.products()
         while (sign := self.peek()) in ("+", "-"):
             self.take()
-            other = self.products(depth + 1)
-            value = _sane(value + other if sign == "+" else value - other)
-        return value
+            other, right = self.products()
+            value, high = _sane(value + other if sign == "+" else value - other), _higher(high, right)
+        return value, high
 
-    def products(self, depth: int) -> float:
-        value = self.signed(depth)
+    def products(self) -> tuple[float, int]:
+        value, high = self.signed()
         while (sign := self.peek()) in ("*", "/", "//", "%"):
             self.take()
-            other = self.signed(depth)
+            other, right = self.signed()
             if sign != "*" and other == 0:
                 raise ValueError("division by zero")
             value = _sane(value * other if sign == "*" else value / other if sign == "/" else value // other if sign == "//" else value % other)
-        return value
+            high = _higher(high, right)
+        return value, high
 
-    def signed(self, depth: int) -> float:
-        if depth > MAX_DEPTH:
-            raise ValueError("nested too deeply")
+    def signed(self) -> tuple[float, int]:
         if (sign := self.peek()) in ("+", "-"):
             self.take()
-            value = self.signed(depth + 1)
-            return -value if sign == "-" else value
-        return self.power(depth)
+            value, high = self.signed()
+            return (-value if sign == "-" else value), _higher(high, 0)
+        return self.power()
 
-    def power(self, depth: int) -> float:
+    def power(self) -> tuple[float, int]:
         kind, text = self.take()
         if kind == "number":
-            base = _sane(int(text) if text.isdigit() else float(text))
+            base, high = _sane(int(text) if text.isdigit() else float(text)), 0
         elif text == "(":
-            base = self.sums(depth + 1)
+            base, high = self.sums()
             if self.take()[1] != ")":
                 raise ValueError("malformed expression")
         else:
             raise ValueError("malformed expression")
         if self.peek() == "**":
             self.take()
-            exponent = self.signed(depth + 1)
+            exponent, right = self.signed()
             if abs(exponent) > MAX_POWER:
                 raise ValueError("exponent too large")
             if base == 0 and exponent < 0:
                 raise ValueError("division by zero")
-            base = _sane(base**exponent)
-        return base
+            base, high = _sane(base**exponent), _higher(high, right)
+        return base, high
+
+
+def _higher(left: int, right: int) -> int:
+    high = max(left, right) + 1
+    if high >= MAX_DEPTH:
+        raise ValueError("nested too deeply")
+    return high
 
 
 def _sane(value: float) -> float:
@@ -100,7 +107,7 @@ def calculate(expression: str | None) -> str:
     for old, new in SIGNS.items():
         expression = expression.replace(old, new)
     parser = _Parser(expression)
-    value = parser.sums(0)
+    value, _ = parser.sums()
     if parser.at != len(parser.items):
         raise ValueError("malformed expression")
     if isinstance(value, float):

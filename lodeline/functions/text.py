@@ -39,6 +39,7 @@ OUTGOING_RULES = [
     (r"(?:我(?:在|就读于)|我的学校是|学校[:：])[^，。！？!?\n]{1,40}?(?:小学|学校)", "[学校已隐藏]"),
     (r"(?:我住在|我的地址是|住址[:：]|地址[:：])[^，。！？!?\n]{1,80}", "[地址已隐藏]"),
 ]
+OUTGOING_MARK = "学生当前问题:"
 OUTGOING_BLOCKS = ["最近会话", "相关长期学习记忆", "审核修改意见"]
 
 
@@ -107,7 +108,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 def hide_outgoing(text: Column, max_chars: int = 200, normalise: bool = True) -> Column:
     """What may leave of a question: the part behind the last question mark-up, or the text without context blocks, hidden by rules and cut."""
     value = nfkc(F.coalesce(text, F.lit(""))) if normalise else F.coalesce(text, F.lit(""))
-    asked = "学生当前问题:"
+    asked = OUTGOING_MARK
     blocks = value
     for name in OUTGOING_BLOCKS:
         blocks = F.regexp_replace(blocks, f"(?s){name}开始.*?{name}结束[。.]?", " ")
@@ -153,6 +154,33 @@ def json_body(text: Column) -> Column:
     return F.when(inner != "", inner).otherwise(F.btrim(text))
 
 
+def salvaged(text: Column, schema: str) -> Column:
+    """The JSON object in a text as a struct of `schema`; null where it isn't a valid object."""
+    body = json_body(text)
+    return F.when(body.startswith("{") & F.try_parse_json(body).isNotNull(), F.from_json(body, schema))
+
+
+def subject_or_general(subject: Column, known: list[str], general: str = "综合") -> Column:
+    """A known subject, else the general one."""
+    return F.when(F.btrim(subject).isin(known), F.btrim(subject)).otherwise(general)
+
+
+def metadata_json(fields: Column) -> Column:
+    """A struct as JSON; a number that isn't finite fails the job, as JSON has no way to write it."""
+    text = F.to_json(fields)
+    return F.when(text.rlike(r':"(?:NaN|-?Infinity)"'), F.raise_error(F.concat(F.lit("no JSON for: "), text)).cast("string")).otherwise(text)
+
+
+def truth(value: str) -> bool:
+    """A setting as a truth value; ValueError for what is neither yes nor no."""
+    name = value.strip().lower()
+    if name in ("1", "true", "yes", "on"):
+        return True
+    if name in ("0", "false", "no", "off"):
+        return False
+    raise ValueError(f"neither yes nor no: {value}")
+
+
 def without_guide(text: Column) -> Column:
     """A text without the comment that leads it."""
     return F.regexp_replace(text, r"(?s)\A\s*<!--.*?-->\s*", "")

@@ -29,6 +29,27 @@ def is_trusted(url: Column, domains: list[str]) -> Column:
     return F.coalesce(url.rlike("^(?i:https?)://") & named, F.lit(False))
 
 
+def trusted_results(pages: DataFrame, domains: list[str], n: int = 5) -> DataFrame:
+    """The first n trusted results (query_id, pos, url, ...) of each query, in the order of the search, numbered from 1."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("pos")).cast("bigint")
+    return pages.filter(is_trusted(F.col("url"), domains)).withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def web_decision(questions: DataFrame, results: DataFrame, time_sensitive: Column) -> DataFrame:
+    """(query_id, action) for questions (query_id, local_hits, local_attempted, ...): `local` before the stored knowledge was tried, unless the question is about current matters, then `web` where trusted results came, else `none`."""
+    some = results.select("query_id").distinct().withColumn("found", F.lit(True))
+    action = F.when(~F.col("local_attempted") & ~time_sensitive, "local").when(F.col("found"), "web").otherwise("none")
+    return questions.join(some, "query_id", "left").select("query_id", action.alias("action"))
+
+
+def quota_report(calls: DataFrame, keys: list[str], tool: str, limits: dict[str, int]) -> DataFrame:
+    """Calls of each tool within its keys, how many of them the limit allowed and how many it refused."""
+    limit = F.create_map(*[x for p in limits.items() for x in (F.lit(p[0]), F.lit(p[1]))])[F.col(tool)] if limits else F.lit(None)
+    n = calls.groupBy(*keys, tool).agg(F.count(F.lit(1)).alias("calls"))
+    allowed = F.least("calls", F.coalesce(limit.cast("bigint"), F.col("calls")))
+    return n.select(*keys, tool, "calls", allowed.alias("allowed"), (F.col("calls") - allowed).alias("refused"))
+
+
 def within_quota(calls: DataFrame, keys: list[str], tool: str, order: list[str], limits: dict[str, int]) -> DataFrame:
     """`calls` with call_no and allowed: the n-th call of a tool within its keys is allowed up to the tool's limit; tools without a limit always are."""
     n = F.row_number().over(W.partitionBy(*keys, tool).orderBy(*order)).cast("bigint")

@@ -2,31 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.operators.dense import dense_top_k
-from lodeline.operators.fusion import reciprocal_ranks
-from lodeline.operators.lexical import bm25
+from lodeline.operators.fusion import reciprocal_ranks, rerank
+from lodeline.operators.lexical import WordIndex, bm25
 
 #: Subject that stands for no restriction.
 GENERAL = "综合"
 
 
-def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5, candidates: int = 20, pool: int = 80, weights: tuple[float, float] = (0.75, 0.25), constant: int = 5) -> DataFrame:
-    """Dense and lexical routes of `pool` each, fused to `candidates`, cut to k, with the documents joined at the end only.
+def _by_scope(queries: DataFrame, plain: Callable[[DataFrame], DataFrame], scoped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Queries of a subject go one way, those of the general subject, an empty one or none the other; without a subject column all go the plain way."""
+    if "subject" not in queries.columns:
+        return plain(queries)
+    free = F.coalesce("subject", F.lit("")).isin("", GENERAL)
+    return plain(queries.filter(free)).unionByName(scoped(queries.filter(~free)))
+
+
+def routes(queries: DataFrame, index: WordIndex, vectors: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
+    """The dense and the lexical route (query_id, chunk_id, rank, ...) of each query within its collection and namespace, and within its subject if it names one."""
+    rows = vectors.select("collection_name", *(["subject"] if "subject" in vectors.columns else []), F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
+
+    def dense(q: DataFrame, scope: list[str]) -> DataFrame:
+        joined = lambda df: df.withColumn("scope", F.concat_ws("\u0001", *scope))
+        return dense_top_k(joined(q), joined(rows), pool, scope="scope").select("query_id", F.col("id").alias("chunk_id"), "cosine", "rank")
+
+    near = _by_scope(queries, lambda q: dense(q, ["collection_name"]), lambda q: dense(q, ["collection_name", "subject"]))
+    words = _by_scope(queries, lambda q: bm25(q, index, pool), lambda q: bm25(q, index, pool, by_subject=True))
+    return near, words.select("query_id", "chunk_id", "bm25", "rank")
+
 
-    `queries`: query_id, namespace, collection_name, query, query_vec. `docs`: namespace, chunk_id, subject, source, text. `vectors`: collection_name, chunk_id, embedding.
-    Result: query_id, rank, chunk_id, rrf_score, subject, source, text.
+def bodies(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """Ranked chunks with subject, source and text of their document (of the first namespace that has it): only documents that were found are read further."""
+    held = documents.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min_by(F.struct("subject", "source", "text"), "namespace").alias("d"))
+    return found.join(held, "chunk_id", "left").select(*found.columns, "d.subject", "d.source", "d.text")
+
+
+def search(
+    queries: DataFrame, index: WordIndex, vectors: DataFrame, k: int = 5, candidates: int = 20, pool: int = 80, weights: tuple[float, float] = (0.75, 0.25), constant: int = 5,
+    answers: DataFrame | None = None, ready: Callable[[], bool] | None = None,
+) -> DataFrame:
+    """Dense and lexical routes of `pool` each, fused to `candidates`, reranked by `answers` (see fusion.rerank) or cut to k, with the documents joined at the end only.
+
+    `queries`: query_id, namespace, collection_name, query, query_vec and maybe subject. Result: query_id, rank, chunk_id, rrf_score, subject, source, text. `ready` says whether the index is current; it is asked before and after the
+    routes are planned, and a no is a RuntimeError. Raises ValueError unless k is a whole number of at least 1.
     """
-    if isinstance(k, bool) or k < 1:
-        raise ValueError("k must be at least 1")
-    rows = vectors.select("collection_name", F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
-    dense = dense_top_k(queries, rows, max(candidates, pool), scope="collection_name").select("query_id", F.col("id").alias("chunk_id"), "rank")
-    lexical = bm25(queries, docs, max(candidates, pool)).select("query_id", "chunk_id", "rank")
-    fused = reciprocal_ranks([dense, lexical], list(weights), candidates, constant).filter(F.col("rank") <= k)
-    bodies = docs.groupBy("chunk_id").agg(F.min_by(F.struct("subject", "source", "text"), "namespace").alias("d"))
-    return fused.join(bodies, "chunk_id", "left").select("query_id", "rank", "chunk_id", "rrf_score", "d.subject", "d.source", "d.text")
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
+        raise ValueError("k must be a whole number of at least 1")
+
+    def check() -> None:
+        if ready is not None and not ready():
+            raise RuntimeError("the index is not ready")
+
+    check()
+    near, words = routes(queries, index, vectors, max(candidates, pool))
+    check()
+    fused = reciprocal_ranks([near.select("query_id", "chunk_id", "rank"), words.select("query_id", "chunk_id", "rank")], list(weights), candidates, constant)
+    if answers is None:
+        kept = fused.filter(F.col("rank") <= k)
+    else:
+        kept = rerank(fused, answers, k, "rrf_score").select("query_id", "chunk_id", "rrf_score", F.col("final_rank").alias("rank"))
+    return bodies(kept, index.documents).select("query_id", "rank", "chunk_id", "rrf_score", "subject", "source", "text")
 
 
 def render(found: DataFrame) -> DataFrame:

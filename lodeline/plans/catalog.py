@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from lodeline.functions import calc, embed, keys, splitter, text
 from lodeline.operators import context, dense, fusion, guard, index, lexical, memory, search
 from lodeline.plans.relational import ORACLE as RELATIONAL_ORACLE
 from lodeline.plans.relational import QUERIES as RELATIONAL
+from lodeline.plans.stored import word_index
 from lodeline.sources import generate
 from lodeline.sources.tables import table
 
@@ -67,12 +69,12 @@ def posting_build(s, d):
 
 @query(f"WITH {DOCS}, p AS (SELECT DISTINCT namespace, chunk_id, unnest(words) AS term FROM w) SELECT namespace, term, count(*) AS df FROM p GROUP BY ALL")
 def term_df(s, d):
-    return lexical.document_frequency(lexical.postings(_docs(s, d)), "namespace")
+    return word_index(s, d).terms.groupBy("namespace", "term").agg(F.sum("df").alias("df"))
 
 
 @query(f"WITH {DOCS} SELECT namespace, subject, count(*) AS n_docs, round(avg(length), 6) AS avg_length FROM w GROUP BY ALL")
 def corpus_stats(s, d):
-    return lexical.scope_stats(lexical.lengths(_docs(s, d)), "namespace", "subject").withColumn("avg_length", F.round("avg_length", 6))
+    return word_index(s, d).sizes.select("namespace", "subject", "n_docs", F.round(F.col("tokens") / F.col("n_docs"), 6).alias("avg_length"))
 
 
 def _bm25_sql(scope: str, k: int) -> str:
@@ -87,12 +89,12 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 @query(f"WITH {DOCS}, {ASKED}, {_bm25_sql('namespace', 80)} FROM b")
 def bm25_topk(s, d):
-    return lexical.bm25(_asked(s, d), _docs(s, d), 80)
+    return lexical.bm25(_asked(s, d), word_index(s, d), 80)
 
 
 @query(f"WITH {DOCS}, {ASKED}, {_bm25_sql('namespace, subject', 20)} FROM b")
 def bm25_subject_topk(s, d):
-    return lexical.bm25(_asked(s, d), _docs(s, d), 20, by_subject=True)
+    return lexical.bm25(_asked(s, d), word_index(s, d), 20, by_subject=True)
 
 
 USABLE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
@@ -135,9 +137,7 @@ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 
 def _routes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    asked = _asked_both(s, d)
-    rows = _vectors(s, d).select("collection_name", F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
-    return dense.dense_top_k(asked, rows, 80, scope="collection_name").withColumnRenamed("id", "chunk_id"), lexical.bm25(asked, _docs(s, d), 80)
+    return search.routes(_asked_both(s, d), word_index(s, d), _vectors(s, d), 80)
 
 
 @query(f"WITH {BOTH} SELECT query_id, chunk_id, cosine, rank FROM n")
@@ -151,23 +151,44 @@ def rrf_fuse(s, d):
     return fusion.reciprocal_ranks([a.select("query_id", "chunk_id", "rank"), b.select("query_id", "chunk_id", "rank")], [0.75, 0.25], 20)
 
 
-@query(f"""WITH {DOCS}, {BOTH}, {_bm25_sql('namespace', 80)},
-u AS (SELECT n.query_id, n.chunk_id, n.cosine, coalesce(b.bm25, 0) AS bm25 FROM n LEFT JOIN b ON n.query_id = b.query_id AND n.chunk_id = b.chunk_id),
-g AS (SELECT *, round(0.75 * (least(1, greatest(-1, cosine)) + 1) / 2 + 0.25 * CASE WHEN max(bm25) OVER (PARTITION BY query_id) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY query_id) ELSE 0 END, 6) AS combined FROM u)
+# BM25 of each query within the 40 nearest chunks it has.
+WITHIN = f"""o AS (SELECT chunk_id, arg_min({{'text': text}}, namespace) AS r FROM d GROUP BY ALL),
+ca AS (SELECT n.query_id, q.query, n.chunk_id, n.cosine, o.r.text AS text FROM n JOIN q USING (query_id) LEFT JOIN o USING (chunk_id) WHERE n.rank <= 40),
+ct AS (SELECT query_id, chunk_id, {tokens_sql('text')} AS words, coalesce(len({tokens_sql('text')}), 0) AS length FROM ca), cs AS (SELECT query_id, count(*) AS n, avg(length) AS a FROM ct GROUP BY ALL),
+cq AS (SELECT query_id, unnest(list_distinct({tokens_sql('query')})) AS term FROM (SELECT DISTINCT query_id, query FROM ca)), cp AS (SELECT query_id, chunk_id, length, term, count(*) AS tf FROM (SELECT query_id, chunk_id, length, unnest(words) AS term FROM ct) GROUP BY ALL),
+ch AS (SELECT cp.* FROM cp JOIN cq ON cp.query_id = cq.query_id AND cp.term = cq.term), cd AS (SELECT query_id, term, count(*) AS df FROM ch GROUP BY ALL),
+cb AS (SELECT ch.query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / CASE WHEN a > 0 THEN a ELSE 1 END))), 6) AS bm25 FROM ch JOIN cd ON ch.query_id = cd.query_id AND ch.term = cd.term JOIN cs ON cs.query_id = ch.query_id GROUP BY ALL),
+cc AS (SELECT ca.query_id, ca.chunk_id, ca.cosine, coalesce(cb.bm25, 0) AS bm25 FROM ca LEFT JOIN cb ON ca.query_id = cb.query_id AND ca.chunk_id = cb.chunk_id)"""
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    """The nearest chunks of each query with their texts and their BM25 among themselves."""
+    asked, index = _asked_both(s, d), word_index(s, d)
+    rows = _vectors(s, d).select("collection_name", F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
+    near = dense.dense_top_k(asked, rows, fusion.candidate_size(10), scope="collection_name").select("query_id", F.col("id").alias("chunk_id"), "cosine")
+    return lexical.bm25_candidates(search.bodies(near.join(asked.select("query_id", "query"), "query_id"), index.documents).drop("subject", "source"))
+
+
+@query(f"WITH {DOCS}, {BOTH}, {WITHIN} SELECT query_id, chunk_id, bm25 FROM cc")
+def bm25_candidates(s, d):
+    return _candidates(s, d).select("query_id", "chunk_id", "bm25")
+
+
+@query(f"""WITH {DOCS}, {BOTH}, {WITHIN},
+g AS (SELECT *, round(0.75 * (least(1, greatest(-1, cosine)) + 1) / 2 + 0.25 * CASE WHEN max(bm25) OVER (PARTITION BY query_id) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY query_id) ELSE 0 END, 6) AS combined FROM cc)
 SELECT query_id, chunk_id, cosine, bm25, combined, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, bm25 DESC, cosine DESC, chunk_id) AS rank FROM g) WHERE rank <= 10""")
 def hybrid_linear(s, d):
-    a, b = _routes(s, d)
-    both = a.select("query_id", "chunk_id", "cosine").join(b.select("query_id", "chunk_id", "bm25"), ["query_id", "chunk_id"], "left").fillna(0.0, ["bm25"])
-    return fusion.linear(both, 10)
+    return fusion.linear(_candidates(s, d).select("query_id", "chunk_id", "cosine", "bm25"), 10)
 
 
 @query(f"""WITH {DOCS}, {BOTH}, {_bm25_sql('namespace', 80)}, {FUSED}, o AS (SELECT chunk_id, arg_min({{'subject': subject, 'source': source, 'text': text}}, namespace) AS r FROM d GROUP BY ALL)
 SELECT query_id, rank, chunk_id, rrf_score, r.subject AS subject, r.source AS source, r.text AS text FROM f LEFT JOIN o USING (chunk_id) WHERE rank <= 5""")
 def search_topk(s, d):
-    return search.search(_asked_both(s, d), _docs(s, d), _vectors(s, d))
+    return search.search(_asked_both(s, d), word_index(s, d), _vectors(s, d))
 
 
-@query()
+@query(f"""WITH {DOCS}, {BOTH}, {_bm25_sql('namespace', 80)}, {FUSED}, o AS (SELECT chunk_id, arg_min({{'subject': subject, 'source': source, 'text': text}}, namespace) AS r FROM d GROUP BY ALL)
+SELECT query_id, string_agg('【资料' || rank || '｜' || coalesce(r.subject, '综合') || '｜' || coalesce(r.source, '未知来源') || '】' || chr(10) || trim(coalesce(r.text, '')), chr(10) || chr(10) ORDER BY rank) AS context FROM f LEFT JOIN o USING (chunk_id) WHERE rank <= 5 GROUP BY query_id""")
 def search_rendered(s, d):
     return search.render(search_topk(s, d))
 
@@ -214,7 +235,7 @@ def manifest_report(s, d):
 CASE WHEN o.ids IS NULL THEN 'orphan' WHEN n.ids IS NULL THEN 'missing' ELSE 'inconsistent' END AS state FROM ov o FULL JOIN nv n ON o.source = n.source WHERE o.ids IS NULL OR n.ids IS NULL OR o.ids <> n.ids""")
 def ledger_reconcile(s, d):
     docs = table(s, d, "lexical_documents").filter("source IS NOT NULL").select("source", "chunk_id")
-    return index.ledger_report(_versions(s, d)[0].select("source", "ids"), docs)
+    return index.ledger_report(_versions(s, d)[0], docs)
 
 
 @query("""SELECT chunk_id, 'missing' AS side FROM (SELECT DISTINCT chunk_id FROM education_vector_chunks) WHERE chunk_id NOT IN (SELECT chunk_id FROM lexical_documents)
@@ -243,7 +264,8 @@ def memory_keys(s, d):
     )
 
 
-@query()
+@query("""WITH h AS (SELECT DISTINCT collection_name, chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk:' || collection_name || ':' || chunk_id)) AS h FROM education_vector_chunks)
+SELECT collection_name, chunk_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (('0x' || h[17:17])::INT % 4) + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h""")
 def point_ids(s, d):
     return table(s, d, "education_vector_chunks").select("collection_name", "chunk_id").distinct().select("collection_name", "chunk_id", keys.name_uuid(F.concat_ws(":", F.lit("chunk"), "collection_name", "chunk_id")).alias("point_id"))
 
@@ -273,9 +295,14 @@ def first_commits(s, d):
     return memory.first_commits(table(s, d, "education_committed_turns")).select("turn_id", "thread_id", "student_id", "created_at")
 
 
-@query("SELECT t.turn_id, t.thread_id, t.student_id, c.owner FROM education_committed_turns t JOIN (SELECT thread_id, min(student_id) AS owner FROM education_conversations GROUP BY ALL) c USING (thread_id) WHERE t.student_id <> c.owner")
+# Turns of which some name another student than their thread's.
+def _claimed(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "education_committed_turns").withColumn("student_id", F.when(F.right("turn_id", F.lit(1)) == "7", "stu_other").otherwise(F.col("student_id")))
+
+
+@query("SELECT t.turn_id, t.thread_id, t.student_id, c.owner FROM (SELECT * REPLACE (CASE WHEN right(turn_id, 1) = '7' THEN 'stu_other' ELSE student_id END AS student_id) FROM education_committed_turns) t JOIN (SELECT thread_id, min(student_id) AS owner FROM education_conversations GROUP BY ALL) c USING (thread_id) WHERE t.student_id <> c.owner")
 def owner_conflicts(s, d):
-    return memory.owner_conflicts(table(s, d, "education_committed_turns"), table(s, d, "education_conversations"))
+    return memory.owner_conflicts(_claimed(s, d), table(s, d, "education_conversations"))
 
 
 @query("""WITH a AS (SELECT thread_id, student_id, title, subject, grade, created_at, updated_at AS moment, 0 AS new FROM education_conversations
@@ -321,11 +348,32 @@ def memory_rank(s, d):
     return memory.rank_memories(asked, table(s, d, "education_long_term_memories").distinct())
 
 
-@query(f"""WITH {MEM}, g AS (SELECT DISTINCT thread_id FROM education_conversations WHERE grade IS NULL) SELECT id, student_id FROM me WHERE NOT (coalesce(source_thread_id IN (FROM g), false) AND coalesce(memory_type IN ('learning_topic', 'learning_difficulty'), false))""")
+# What is left of the four tables, as their keys.
+def _left(tables: dict[str, DataFrame]) -> DataFrame:
+    keys = {"conversations": "thread_id", "messages": "id", "turns": "turn_id", "memories": "id"}
+    return reduce(DataFrame.unionByName, [tables[t].select(F.lit(t).alias("table_name"), F.col(k).cast("string").alias("key"), "student_id") for t, k in keys.items()])
+
+
+def _four(s: SparkSession, d: str) -> list[DataFrame]:
+    return [table(s, d, f"education_{t}") for t in ("conversations", "messages", "committed_turns")] + [table(s, d, "education_long_term_memories").distinct()]
+
+
+_LEFT_SQL = f"""SELECT 'conversations' AS table_name, thread_id AS key, student_id FROM education_conversations WHERE {{a}} UNION ALL SELECT 'messages', id::VARCHAR, student_id FROM education_messages WHERE {{b}}
+UNION ALL SELECT 'turns', turn_id, student_id FROM education_committed_turns WHERE {{c}} UNION ALL SELECT 'memories', id::VARCHAR, student_id FROM me WHERE {{m}}"""
+
+
+@query(f"WITH {MEM}, g AS (SELECT DISTINCT thread_id FROM education_conversations WHERE grade IS NULL) " + _LEFT_SQL.format(
+    a="thread_id NOT IN (FROM g)", b="thread_id NOT IN (FROM g)", c="thread_id NOT IN (FROM g)", m="NOT (coalesce(source_thread_id IN (FROM g), false) AND coalesce(memory_type IN ('learning_topic', 'learning_difficulty'), false))"))
 def memory_forget(s, d):
     gone = table(s, d, "education_conversations").filter("grade IS NULL").select("thread_id")
-    left = memory.forget_threads(gone, table(s, d, "education_conversations"), table(s, d, "education_messages"), table(s, d, "education_committed_turns"), table(s, d, "education_long_term_memories").distinct())
-    return left["memories"].select("id", "student_id")
+    return _left(memory.forget_threads(gone, *_four(s, d)))
+
+
+@query(f"WITH {MEM}, g AS (SELECT DISTINCT student_id FROM education_conversations WHERE grade = 3), h AS (SELECT DISTINCT thread_id FROM education_conversations WHERE student_id IN (FROM g)) " + _LEFT_SQL.format(
+    a="student_id NOT IN (FROM g)", b="thread_id NOT IN (FROM h)", c="thread_id NOT IN (FROM h) AND student_id NOT IN (FROM g)", m="student_id NOT IN (FROM g)"))
+def student_forget(s, d):
+    gone = table(s, d, "education_conversations").filter("grade = 3").select("student_id")
+    return _left(memory.forget_students(gone, *_four(s, d)))
 
 
 @query(f"""WITH {MSG}, c AS (SELECT thread_id, min(subject) AS subject FROM education_conversations GROUP BY ALL),
@@ -364,7 +412,10 @@ def redact_email(s, d):
     return table(s, d, "education_messages").select("id", F.regexp_replace("content", pattern, mark).alias("hidden")).distinct()
 
 
-@query()
+_HIDE = lambda c, pattern, mark: f"regexp_replace({c}, '(^|[^0-9]){pattern}([^0-9]|$)', '\\1{mark}\\2', 'g')"  # noqa: E731 - without lookaround: each rule twice, for neighbours that share a character
+
+
+@query("SELECT DISTINCT id, " + _HIDE(_HIDE("regexp_replace(" + _HIDE(_HIDE("content", "1[3-9][0-9]{9}", "[手机号已隐藏]"), "1[3-9][0-9]{9}", "[手机号已隐藏]") + r", '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[邮箱已隐藏]', 'g')", "[0-9]{17}[0-9Xx]", "[证件号已隐藏]"), "[0-9]{17}[0-9Xx]", "[证件号已隐藏]") + " AS hidden FROM education_messages")
 def redact_stored(s, d):
     return table(s, d, "education_messages").select("id", text.hide_stored(F.col("content")).alias("hidden")).distinct()
 
@@ -385,12 +436,14 @@ def truncate_texts(s, d):
     return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", text.keep_start(F.col("text"), 50).alias("head"), text.keep_end(F.col("text"), 50).alias("tail"))
 
 
-# Events as a log of tool calls.
-@query("SELECT event_id, user_id, event_type, n AS call_no, n <= 6 OR event_type = 'view' AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events)")
+# Events as a log of tool calls; all tools but one have a limit.
+LIMITS = {"click": 6, "purchase": 6, "signup": 6, "error": 6}
+
+
+@query("SELECT event_id, user_id, event_type, n AS call_no, n <= 6 OR event_type NOT IN ('click', 'purchase', 'signup', 'error') AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events)")
 def tool_quota(s, d):
     calls = table(s, d, "events").withColumn("day", F.to_date("ts"))
-    kinds = [r[0] for r in calls.select("event_type").distinct().limit(100).collect()]  # the declared tools
-    return guard.within_quota(calls, ["user_id", "day"], "event_type", ["ts", "event_id"], {t: 6 for t in kinds if t != "view"}).select("event_id", "user_id", "event_type", "call_no", "allowed")
+    return guard.within_quota(calls, ["user_id", "day"], "event_type", ["ts", "event_id"], LIMITS).select("event_id", "user_id", "event_type", "call_no", "allowed")
 
 
 @query(f"""WITH {MSG}, a AS (SELECT id, content AS answer FROM ms WHERE speaker = 'assistant' AND length(content) > 0)
@@ -399,18 +452,24 @@ def answer_chunks(s, d):
     return guard.answer_chunks(_messages(s, d).filter("speaker = 'assistant'").select("id", F.col("content").alias("answer")))
 
 
-@query(f"""WITH {MSG} SELECT id, CAST(unnest(range(0, CAST(ceil(length(content) / 8.0) AS BIGINT) + 1)) AS INTEGER) AS pos FROM ms WHERE speaker = 'assistant' AND length(content) > 0""")
+@query(f"""WITH {MSG}, a AS (SELECT id, content AS answer FROM ms WHERE speaker = 'assistant' AND length(content) > 0), e AS (SELECT id, CAST(ceil(length(answer) / 8.0) AS BIGINT) AS n, answer FROM a)
+SELECT id, CAST(i AS INTEGER) AS pos, CASE WHEN i < n THEN 'answer_delta' ELSE 'done' END AS event, CASE WHEN i < n THEN substr(answer, i * 8 + 1, 8) END AS text, CASE WHEN i = n THEN 'true' END AS completed FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM e)""")
 def event_stream_roundtrip(s, d):
     events = guard.event_text(answer_chunks(s, d))
     streams = events.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "event"))), lambda x: x["event"]), "").alias("stream"))
-    return guard.parse_events(streams).select("id", "pos")
+    return guard.parse_events(streams).select("id", "pos", "event", F.get_json_object("data", "$.text").alias("text"), F.get_json_object("data", "$.completed").alias("completed"))
 
 
-@query()
+SUM = r"(?:^|[^0-9.])([0-9]{1,9} [×÷+−-] [0-9]{1,9})(?:[^0-9.]|$)"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT id, unnest(regexp_extract_all(content, '{SUM}', 1)) AS expression FROM education_messages),
+t AS (SELECT *, string_split(expression, ' ')[1]::BIGINT AS a, string_split(expression, ' ')[2] AS sign, string_split(expression, ' ')[3]::BIGINT AS b FROM e)
+SELECT id, expression, CASE WHEN sign = '÷' AND b = 0 OR sign = '×' AND a * b > 1000000000000 THEN NULL WHEN sign = '×' THEN (a * b)::VARCHAR WHEN sign = '+' THEN (a + b)::VARCHAR WHEN sign = '÷' THEN CASE WHEN a % b = 0 THEN (a // b)::VARCHAR ELSE format('{{:.12g}}', a::DOUBLE / b) END ELSE (a - b)::VARCHAR END AS value FROM t""")
 def safe_calc(s, d):
-    shown = F.regexp_extract("content", r"(\d+(?:\.\d+)? [×÷+] \d+(?:\.\d+)?) = ", 1)
-    rows = table(s, d, "education_messages").select("id", shown.alias("expression")).filter("expression <> ''").distinct()
-    return rows.withColumn("r", calc.safe_calc("expression")).select("id", "expression", "r.value", "r.error")
+    shown = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(SUM), F.lit(1))))
+    rows = table(s, d, "education_messages").select("id", shown.alias("expression")).distinct()
+    return rows.withColumn("r", calc.safe_calc("expression")).select("id", "expression", "r.value")
 
 
 @query()
@@ -418,9 +477,20 @@ def hash_embedding(s, d):
     return _docs(s, d).select("namespace", "chunk_id", embed.hash_embedding(F.col("text"), 256).alias("embedding"))
 
 
-@query("SELECT 40500 AS records, 40500 AS distinct_texts, 3 AS subjects")
+@query("""WITH r AS (SELECT CAST(i % 750 AS INT) AS n, CAST((i // 750) % 3 AS INT) AS track, CAST((i // 2250) % 6 + 1 AS INT) AS grade, i // 13500 AS s FROM range(40500) t(i)),
+v AS (SELECT *, n + 11 * grade AS a, n % 97 + grade + 2 AS b FROM r),
+x AS (SELECT *, CASE s WHEN 0 THEN printf('%d年级练习%d：', grade, n + 1) || CASE track WHEN 0 THEN printf('%d + %d = %d', a, b, a + b) WHEN 1 THEN printf('%d × %d = %d', a, b, a * b)
+    ELSE printf('%d : %d = ', a, b) || CASE WHEN a % b = 0 THEN CAST(a // b AS VARCHAR) ELSE (a // gcd(a, b)) || '/' || (b // gcd(a, b)) END END
+  WHEN 1 THEN printf('第%d册第%d组第%d题：把第%d段读两遍，再用自己的话说一说。', grade, track + 1, n + 1, b)
+  ELSE printf('Track %d, grade %d, no. %d: a walk begins at %02d:%02d and takes %d minutes.', track, grade, n, (n // 60) % 24, n % 60, b) END AS text FROM v)
+SELECT ['数学', '语文', '英语'][CAST(s AS INT) + 1] AS subject, grade, track, n, sha256(text) AS digest FROM x""")
 def corpus_generate(s, d):
-    return generate.corpus(s).agg(F.count(F.lit(1)).cast("int").alias("records"), F.count_distinct("digest").cast("int").alias("distinct_texts"), F.count_distinct("subject").cast("int").alias("subjects"))
+    return generate.corpus(s).select("subject", "grade", "track", "n", "digest")
+
+
+@query("SELECT s AS subject, 18 AS files, 13500 AS records, 0 AS duplicates FROM (VALUES ('数学'), ('语文'), ('英语')) t(s)")
+def corpus_report(s, d):
+    return generate.corpus_report(generate.corpus(s))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY p) - 1 AS BIGINT) AS pos, CAST(p AS BIGINT) AS prime FROM (SELECT n AS p FROM range(11, 8000) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 90) u(m) WHERE m < n AND n % m = 0) ORDER BY n LIMIT 750)")
@@ -428,5 +498,7 @@ def first_primes(s, d):
     return generate.primes(s, 750)
 
 
+from lodeline.plans import service  # noqa: E402, F401 - registers more queries
+
 QUERIES.update(RELATIONAL)
 ORACLE.update(RELATIONAL_ORACLE)

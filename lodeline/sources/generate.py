@@ -24,7 +24,9 @@ def _all(col: str):
 
 def fraction(n: Column, d: Column) -> Column:
     """n/d in lowest terms as text."""
-    gcd = F.aggregate(F.sequence(F.lit(1), F.least(n, d)), F.lit(1).cast("bigint"), lambda g, i: F.when((n % i == 0) & (d % i == 0), i.cast("bigint")).otherwise(g))
+    start = F.struct(n.cast("bigint").alias("a"), d.cast("bigint").alias("b"))
+    step = lambda x, _: F.when(x["b"] == 0, x).otherwise(F.struct(x["b"].alias("a"), F.when(x["b"] == 0, F.lit(0)).otherwise(F.pmod(x["a"], x["b"])).cast("bigint").alias("b")))
+    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step)["a"]  # Euclid's steps of 64-bit numbers are fewer
     return F.when(n % d == 0, (n / d).cast("bigint").cast("string")).otherwise(F.concat((n / gcd).cast("bigint").cast("string"), F.lit("/"), (d / gcd).cast("bigint").cast("string")))
 
 
@@ -42,3 +44,10 @@ def corpus(spark: SparkSession, per_file: int = 750, grades: int = 6) -> DataFra
     text = F.concat(text, F.when(F.col("s") == 0, sums).when(F.col("s") == 1, reading).otherwise(clock))
     subject = F.element_at(F.array(F.lit("数学"), F.lit("语文"), F.lit("英语")), (F.col("s") + 1).cast("int"))
     return rows.select(subject.alias("subject"), F.col("grade").cast("int").alias("grade"), F.col("track").cast("int").alias("track"), F.col("n").cast("int").alias("n"), text.alias("text"), F.sha2(text, 256).alias("digest"))
+
+
+def corpus_report(rows: DataFrame) -> DataFrame:
+    """(subject, files, records, duplicates) of a generated corpus: a file for each grade and track, duplicates by digest."""
+    return rows.groupBy("subject").agg(
+        F.count_distinct("grade", "track").cast("int").alias("files"), F.count(F.lit(1)).cast("int").alias("records"), (F.count(F.lit(1)) - F.count_distinct("digest")).cast("int").alias("duplicates")
+    )

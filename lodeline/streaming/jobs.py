@@ -45,13 +45,25 @@ def quota(calls: DataFrame, limit: int = 6) -> DataFrame:
     return calls.groupBy("turn_id", "tool").applyInPandasWithState(count, "turn_id string, tool string, call_id long, call_no long, allowed boolean", "done long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def rolling_compaction(messages: DataFrame, trigger: int = 24, keep: int = 11, summary_chars: int = 1_600) -> DataFrame:
+def _summary(before: str, new: str, most: int) -> str:
+    """The start of what there was and the end of what is new, within `most` characters."""
+    if not before:
+        return new if len(new) <= most else "…" + new[len(new) - most + 1 :]
+    fresh = new if len(new) <= int(most * 0.6) else "…" + new[len(new) - int(most * 0.6) + 1 :]
+    room = most - len(fresh) - 1
+    return (before if len(before) <= room else before[: room - 1] + "…") + "\n" + fresh
+
+
+def rolling_compaction(messages: DataFrame, trigger: int = 24, keep: int = 11, summary_chars: int = 1_600, idle_ms: int = 30 * 86_400_000) -> DataFrame:
     """Keyed conversation state: messages (thread_id, id, line) are appended, a null line removes its id, and beyond `trigger` only the last `keep` stay, the rest going into a summary of bounded length.
 
-    The state of a thread is thus bounded too. Result for each thread and micro-batch: thread_id, kept ids, removed ids, summary.
+    The state of a thread is thus bounded too, and is dropped after `idle_ms` without messages. The oldest part of a summary is kept at its start, as without streaming. Result for each thread and micro-batch: thread_id, kept ids, removed ids, summary.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, summary = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], "")
         removed: list[int] = []
         for pdf in batches:
@@ -62,15 +74,16 @@ def rolling_compaction(messages: DataFrame, trigger: int = 24, keep: int = 11, s
                 if len(held) >= trigger:
                     old, held = held[:-keep], held[-keep:]
                     removed += [m[0] for m in old]
-                    summary = (summary + "\n" + "\n".join(m[1] for m in old)).strip()[-summary_chars:]
+                    summary = _summary(summary, "\n".join(m[1] for m in old), summary_chars)
         state.update((json.dumps(held), summary))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"thread_id": [key[0]], "kept": [[m[0] for m in held]], "removed": [removed], "summary": [summary]})
 
-    return messages.groupBy("thread_id").applyInPandasWithState(fold, "thread_id string, kept array<long>, removed array<long>, summary string", "held string, summary string", "append", GroupStateTimeout.NoTimeout)
+    return messages.groupBy("thread_id").applyInPandasWithState(fold, "thread_id string, kept array<long>, removed array<long>, summary string", "held string, summary string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def refresh_on_change(files: DataFrame, store: SnapshotStore, settings: dict, build: Callable[[DataFrame], DataFrame], seen: Callable[[], DataFrame]) -> DataStreamWriter:
-    """A writer that brings the index up to date with each micro-batch of changed files; `seen` gives all chunk rows as they are now. A batch that is run again after a failure changes nothing."""
+    """A writer that brings the index up to date with each micro-batch of changed files; `seen` gives all chunk rows as they are now, of which only sources and digests are compared, and texts of changed buckets read. A batch that is run again after a failure changes nothing."""
 
     def one_batch(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():

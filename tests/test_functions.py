@@ -64,7 +64,7 @@ def test_calculate(e, v):
     assert calc.calculate(e) == v
 
 
-@pytest.mark.parametrize("e", ["", None, "1 / 0", "__import__('os')", "2 ** 9", "1" * 121, "9" * 13, "(" * 30 + "1" + ")" * 30, "1 +", "1 2", "a"])
+@pytest.mark.parametrize("e", ["", None, "1 / 0", "__import__('os')", "2 ** 9", "1" * 121, "9" * 13, "-" * 25 + "1", "1 +", "1 2", "a"])
 def test_calculate_refuses(e):
     with pytest.raises(ValueError):
         calc.calculate(e)

@@ -8,7 +8,7 @@ from lodeline.sources import files
 def test_bm25_index_equals_candidates_over_whole_scope(spark):
     docs = spark.createDataFrame([("n", f"c{i}", t, "s", "f") for i, t in enumerate(["ratio ratio fraction", "fraction", "other words", "", "ratio and more"])], "namespace string, chunk_id string, text string, subject string, source string")
     asked = spark.createDataFrame([(1, "n", "ratio ratio")], "query_id int, namespace string, query string")
-    a = {r.chunk_id: r.bm25 for r in lexical.bm25(asked, docs).collect()}
+    a = {r.chunk_id: r.bm25 for r in lexical.bm25(asked, lexical.word_index(docs)).collect()}
     cands = docs.crossJoin(asked.select("query_id", "query"))
     b = {r.chunk_id: r.bm25 for r in lexical.bm25_candidates(cands).collect() if r.bm25 > 0}
     assert a == b and set(a) == {"c0", "c4"}
@@ -160,5 +160,5 @@ def test_files(spark, tmp_path):
 def test_plans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/lexical_documents.parquet").select("namespace", "chunk_id", "text", "subject", "source")
     asked = docs.limit(3).select(F.monotonically_increasing_id().alias("query_id"), "namespace", F.col("text").alias("query"))
-    plan = lexical.bm25(asked, docs, 5)._jdf.queryExecution().executedPlan().toString()
+    plan = lexical.bm25(asked, lexical.word_index(docs), 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
