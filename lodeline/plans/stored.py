@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeline.operators.index import SnapshotStore, fingerprint
 from lodeline.operators.lexical import WordIndex, document_frequency, index_documents, postings_of
-from lodeline.sources.tables import shared_dir, table
+from lodeline.sources.tables import parallelism, shared_dir, table
 
-VERSION = 1
+VERSION = 3
 
 
 def _state(spark: SparkSession, path: str) -> list[str]:
@@ -27,7 +27,9 @@ def word_index(spark: SparkSession, sf_dir: str) -> WordIndex:
     if not all(s.is_ready(digest) for s in stores.values()):
         docs = table(spark, sf_dir, "lexical_documents").select("namespace", "chunk_id", "text", "subject", "source").distinct()
         held = stores["documents"].commit(index_documents(docs), digest)
-        posted = stores["postings"].commit(postings_of(held), digest, sort=["namespace", "term"])
+        # by document, in as many files as there is work for: a task then holds whole scores, which the next step need only rank
+        files = max(parallelism(spark), stores["documents"].current()["rows"] // 200_000)
+        posted = stores["postings"].commit(postings_of(held).repartition(files, "doc"), digest, sort=["namespace", "term"])
         stores["terms"].commit(document_frequency(posted, "namespace", "subject"), digest, sort=["namespace", "term"])
     documents = stores["documents"].read(digest)
     sizes = documents.groupBy("namespace", "subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("length").alias("tokens"))
