@@ -39,6 +39,7 @@ OUTGOING_RULES = [
     (r"(?:我(?:在|就读于)|我的学校是|学校[:：])[^，。！？!?\n]{1,40}?(?:小学|学校)", "[学校已隐藏]"),
     (r"(?:我住在|我的地址是|住址[:：]|地址[:：])[^，。！？!?\n]{1,80}", "[地址已隐藏]"),
 ]
+#: What marks the question in a prompt, and the names of the blocks around it.
 OUTGOING_MARK = "学生当前问题:"
 OUTGOING_BLOCKS = ["最近会话", "相关长期学习记忆", "审核修改意见"]
 

@@ -10,8 +10,9 @@ from lodeline.functions.keys import agent_key, difficulty_key, topic_key
 from lodeline.functions.text import DIFFICULTY, PREFERENCES, bigram_set, hide_stored, one_line
 from lodeline.operators.search import GENERAL
 
-#: What stored memories of topics and difficulties begin with.
+#: What stored memories of topics and difficulties begin with, and that of the grade.
 ASKED, FOUND_HARD = "学生曾询问：", "学生曾表示这个问题较难："
+GRADE_START, GRADE_END = "学生当前按小学", "年级难度学习。"
 #: Rank of the kinds of memory.
 KIND_SCORE = {"profile": 12.0, "preference": 10.0, "learning_difficulty": 5.0, "learning_topic": 1.0}
 
@@ -98,7 +99,7 @@ def core_memories(turns: DataFrame) -> DataFrame:
     """Memories any turn (turn_id, subject, grade, question) leaves: the topic, and the grade where it is known."""
     short = one_line(hide_stored(F.col("question")), 180, "…")
     row = lambda kind, key, subject, content, sure: F.struct(F.lit(kind).alias("memory_type"), key.alias("memory_key"), subject.alias("memory_subject"), content.alias("content"), F.lit(sure).alias("confidence"))
-    grade = F.when(F.col("grade").isNotNull(), row("profile", F.lit("profile:grade"), F.lit(GENERAL), F.concat(F.lit("学生目前就读小学"), F.col("grade").cast("string"), F.lit("年级。")), 1.0))
+    grade = F.when(F.col("grade").isNotNull(), row("profile", F.lit("profile:grade"), F.lit(GENERAL), F.concat(F.lit(GRADE_START), F.col("grade").cast("string"), F.lit(GRADE_END)), 1.0))
     topic = row("learning_topic", topic_key(F.col("subject"), short), F.col("subject"), F.concat(F.lit(ASKED), short), 0.8)
     return turns.select("turn_id", F.explode(F.array_compact(F.array(grade, topic))).alias("m")).select("turn_id", "m.*")
 

@@ -283,7 +283,7 @@ def record_turn_conversations(s, d):
 @query(f"""WITH {TURNS}, {MEM},
 n AS (SELECT student_id, 'topic:' || left(sha256(subject || '|{HIDDEN}'), 24) AS memory_key, '学生曾询问：{HIDDEN}' AS content, 0.8 AS confidence, created_at FROM t
 UNION ALL SELECT student_id, 'difficulty:' || left(sha256('difficulty|' || subject || '|{HIDDEN}'), 24), '学生曾表示这个问题较难：{HIDDEN}', 0.75, created_at FROM t WHERE right(turn_id, 1) <> '3'
-UNION ALL SELECT student_id, 'profile:grade', '学生目前就读小学' || grade || '年级。', 1.0, created_at FROM t WHERE right(turn_id, 1) = '3' AND grade IS NOT NULL),
+UNION ALL SELECT student_id, 'profile:grade', '学生当前按小学' || grade || '年级难度学习。', 1.0, created_at FROM t WHERE right(turn_id, 1) = '3' AND grade IS NOT NULL),
 b AS (SELECT student_id, memory_key, confidence, created_at, updated_at, 0 AS new FROM me UNION ALL SELECT student_id, memory_key, confidence, created_at, created_at, 1 FROM n)
 SELECT student_id, memory_key, min(created_at) AS created_at, coalesce(max(updated_at) FILTER (new = 1), max(updated_at)) AS updated_at FROM b GROUP BY ALL""")
 def record_turn_memories(s, d):
