@@ -19,7 +19,7 @@ import pyarrow.dataset as ds
 from lodeline.llm import pii as P
 from lodeline.llm.language import language
 
-SAMPLE, MADE, ROUNDS, BATCH, HIDDEN, EMB, SEED, RATE = 40_000, 20_000, (6, 3, 3), 96, 40, 32, 23, 6e-3
+SAMPLE, MADE, ROUNDS, BATCH, HIDDEN, EMB, SEED, RATE = 40_000, 20_000, (6, 3, 3, 3), 96, 40, 32, 23, 6e-3
 #: Different messages that a sentence (its digits apart) must stand in to be taken for common words without anything personal.
 COMMON = 6
 
