@@ -66,7 +66,7 @@ def search(
         kept = fused.filter(F.col("rank") <= k)
     else:
         kept = rerank(fused, answers, k, "rrf_score").select("query_id", "chunk_id", "rrf_score", F.col("final_rank").alias("rank"))
-    return bodies(kept, index.documents).select("query_id", "rank", "chunk_id", "rrf_score", "subject", "source", "text")
+    return bodies(kept, index.texts).select("query_id", "rank", "chunk_id", "rrf_score", "subject", "source", "text")
 
 
 def render(found: DataFrame) -> DataFrame:

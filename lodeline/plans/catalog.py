@@ -166,7 +166,7 @@ def _candidates(s: SparkSession, d: str) -> DataFrame:
     asked, index = _asked_both(s, d), word_index(s, d)
     rows = _vectors(s, d).select("collection_name", F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
     near = dense.dense_top_k(asked, rows, fusion.candidate_size(10), scope="collection_name").select("query_id", F.col("id").alias("chunk_id"), "cosine")
-    return lexical.bm25_candidates(search.bodies(near.join(asked.select("query_id", "query"), "query_id"), index.documents).drop("subject", "source"))
+    return lexical.bm25_candidates(search.bodies(near.join(asked.select("query_id", "query"), "query_id"), index.texts).drop("subject", "source"))
 
 
 @query(f"WITH {DOCS}, {BOTH}, {WITHIN} SELECT query_id, chunk_id, bm25 FROM cc")

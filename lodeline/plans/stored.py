@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from lodeline.operators.index import SnapshotStore, fingerprint
-from lodeline.operators.lexical import WordIndex, document_frequency, index_documents, postings_of
+from lodeline.operators.lexical import WordIndex, frequencies, index_documents, sizes_of
 from lodeline.sources.tables import parallelism, shared_dir, table
 
-VERSION = 3
+VERSION = 4
 
 
 def _state(spark: SparkSession, path: str) -> list[str]:
@@ -23,14 +22,10 @@ def word_index(spark: SparkSession, sf_dir: str) -> WordIndex:
     """The word index of lexical_documents. Each of its tables is ready only if its digest names this state of the table; what isn't is built and committed first."""
     digest = fingerprint({"version": VERSION, "files": _state(spark, f"{sf_dir}/lexical_documents.parquet")})
     root = f"{shared_dir(spark)}/word-index/{digest[:24]}"
-    stores = {name: SnapshotStore(spark, f"{root}/{name}") for name in ("documents", "postings", "terms")}
+    stores = {name: SnapshotStore(spark, f"{root}/{name}") for name in ("documents", "terms")}
+    texts = table(spark, sf_dir, "lexical_documents").select("namespace", "chunk_id", "text", "subject", "source")
     if not all(s.is_ready(digest) for s in stores.values()):
-        docs = table(spark, sf_dir, "lexical_documents").select("namespace", "chunk_id", "text", "subject", "source").distinct()
-        held = stores["documents"].commit(index_documents(docs), digest)
-        # by document, in as many files as there is work for: a task then holds whole scores, which the next step need only rank
-        files = max(parallelism(spark), stores["documents"].current()["rows"] // 200_000)
-        posted = stores["postings"].commit(postings_of(held).repartition(files, "doc"), digest, sort=["namespace", "term"])
-        stores["terms"].commit(document_frequency(posted, "namespace", "subject"), digest, sort=["namespace", "term"])
+        held = stores["documents"].commit(index_documents(texts, parts=parallelism(spark)), digest)
+        stores["terms"].commit(frequencies(held), digest)
     documents = stores["documents"].read(digest)
-    sizes = documents.groupBy("namespace", "subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("length").alias("tokens"))
-    return WordIndex(documents, stores["postings"].read(digest), stores["terms"].read(digest), sizes)
+    return WordIndex(documents, stores["terms"].read(digest), sizes_of(documents), texts)
