@@ -118,13 +118,12 @@ def vector_issues(s, d):
 
 
 def _vectors(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "education_vector_chunks").select("collection_name", "chunk_id", "embedding").filter(dense.is_finite(F.col("embedding"))).groupBy("collection_name", "chunk_id").agg(F.min("embedding").alias("embedding"))
+    return dense.one_vector(table(s, d, "education_vector_chunks"))
 
 
 def _asked_both(s: SparkSession, d: str) -> DataFrame:
-    first = _vectors(s, d).groupBy("chunk_id").agg(F.min_by(F.struct("collection_name", "embedding"), "collection_name").alias("v"))
     rows = table(s, d, "lexical_documents").filter("document_id % 100 = 0 AND text IS NOT NULL").select(F.col("document_id").alias("query_id"), "namespace", "chunk_id", F.col("text").alias("query")).distinct()
-    return rows.join(first, "chunk_id").select("query_id", "namespace", "query", "v.collection_name", F.col("v.embedding").alias("query_vec"))
+    return rows.join(dense.vectors_of(rows, table(s, d, "education_vector_chunks")), "chunk_id").select("query_id", "namespace", "query", "collection_name", F.col("embedding").alias("query_vec"))
 
 
 BOTH = f"""v AS (SELECT collection_name, chunk_id, min(embedding)::DOUBLE[] AS e FROM education_vector_chunks WHERE {USABLE} GROUP BY ALL),

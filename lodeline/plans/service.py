@@ -21,12 +21,11 @@ n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 @query(f"WITH {DOCS}, {SCOPED}, {_bm25_sql('namespace, subject', 80)}, {FUSED} SELECT query_id, chunk_id, rrf_score, rank FROM f WHERE rank <= 5")
 def search_scoped(s, d):
-    held = table(s, d, "education_vector_chunks").select("collection_name", "chunk_id", "subject", "embedding").filter(dense.is_finite(F.col("embedding")))
-    vectors = held.groupBy("collection_name", "chunk_id").agg(F.min("subject").alias("subject"), F.min("embedding").alias("embedding"))
-    first = vectors.groupBy("chunk_id").agg(F.min_by(F.struct("collection_name", "embedding"), "collection_name").alias("v"))
+    chunks = table(s, d, "education_vector_chunks")
     rows = table(s, d, "lexical_documents").filter("document_id % 100 = 0 AND text IS NOT NULL AND coalesce(subject, '') NOT IN ('', '综合')")
-    asked = rows.select(F.col("document_id").alias("query_id"), "namespace", "subject", "chunk_id", F.col("text").alias("query")).distinct().join(first, "chunk_id")
-    asked = asked.select("query_id", "namespace", "subject", "query", "v.collection_name", F.col("v.embedding").alias("query_vec"))
+    rows = rows.select(F.col("document_id").alias("query_id"), "namespace", "subject", "chunk_id", F.col("text").alias("query")).distinct()
+    asked = rows.join(dense.vectors_of(rows, chunks), "chunk_id").select("query_id", "namespace", "subject", "query", "collection_name", F.col("embedding").alias("query_vec"))
+    vectors = dense.one_vector(chunks, "subject")
     return search.search(asked, word_index(s, d), vectors).select("query_id", "chunk_id", "rrf_score", "rank")
 
 

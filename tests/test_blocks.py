@@ -2,12 +2,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodeline.functions.text import tokenize
-from lodeline.operators import lexical
+from lodeline.operators import dense, lexical
 from lodeline.plans import stored
 
 
@@ -54,8 +55,8 @@ def test_bm25_like_a_loop(spark, monkeypatch, by_subject, sizes):
     assert lexical.bm25(q, lexical.word_index(d), 0, by_subject).count() == 0
 
 
-def rows_shuffled(df):
-    """Rows that its exchanges wrote, after it ran."""
+def shuffled(df, name="shuffleRecordsWritten"):
+    """Rows that its exchanges wrote, or another of their metrics, after it ran."""
     df.collect()
     todo, total = [df._jdf.queryExecution().executedPlan()], 0
     while todo:
@@ -66,8 +67,8 @@ def rows_shuffled(df):
         if "QueryStage" in node.nodeName():
             todo.append(node.plan())
             continue
-        metric = node.metrics().get("shuffleRecordsWritten")
-        total += metric.get().value() if metric.isDefined() else 0
+        metric = node.metrics().get(name)
+        total += metric.get().value() if metric.isDefined() and node.nodeName() == "Exchange" else 0
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return total
@@ -79,7 +80,7 @@ def test_bm25_shuffles_no_pairs(spark, by_subject):
     docs = spark.range(3_000).select(F.lit("n").alias("namespace"), F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("red w"), F.col("id") % 7).alias("text"), F.lit("x").alias("subject"), F.lit("f").alias("source"))
     asked = docs.limit(40).select(F.col("chunk_id").alias("query_id"), "namespace", "subject", F.col("text").alias("query"))
     df = lexical.bm25(asked, lexical.word_index(docs), 5, by_subject)
-    assert df.count() == 200 and rows_shuffled(df) < 40_000  # 120 000 pairs
+    assert df.count() == 200 and shuffled(df) < 40_000  # 120 000 pairs
 
 
 def test_stored_index_is_narrow(spark, tmp_path):
@@ -99,3 +100,42 @@ def test_counted_words():
     assert [dict(zip(r["terms"], r["tfs"], strict=True)) for r in out] == [{"a": 2, "b": 1}, {}, {"b": 1}] and [r["length"] for r in out] == [3, 0, 1]
     out = list(lexical._counted(iter([batch.slice(1)])))[0].to_pylist()
     assert [r["terms"] for r in out] == [[], ["b"]]
+
+
+def test_vectors_stay_where_they_lie(spark):
+    """search_scoped: neither comparing vectors nor removing their copies shuffles them."""
+    rows = spark.range(4_000).select(F.lit("c").alias("collection_name"), (F.col("id") % 3_900).cast("string").alias("chunk_id"), F.transform(F.sequence(F.lit(1), F.lit(200)), lambda x: (x * (F.col("id") % 3_900)).cast("float")).alias("embedding"))
+    vectors = dense.one_vector(rows)
+    assert vectors.count() == 3_900 and shuffled(vectors, "dataSize") < 500_000  # bytes, of 3 200 000
+    asked = vectors.limit(10).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    df = dense.dense_top_k(asked, rows.filter("length(chunk_id) > 0").select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec")), 5)
+    assert df.count() == 50 and shuffled(df) < 1_000
+
+
+def test_least_usable_vector(spark):
+    rows = [("c", "1", [2.0]), ("c", "1", [1.0]), ("c", "1", [float("nan")]), ("c", "2", [float("inf")]), ("c", None, [4.0]), ("c", None, [3.0]), ("b", "1", [9.0]), ("c", "3", None)]
+    df = spark.createDataFrame(rows, "collection_name string, chunk_id string, embedding array<float>")
+    assert sorted((r[0], r[1] or "", r[2][0]) for r in dense.one_vector(df).collect()) == [("b", "1", 9.0), ("c", "", 3.0), ("c", "1", 1.0)]
+    found = dense.vectors_of(spark.createDataFrame([("1",), ("2",), ("4",)], "chunk_id string"), df).collect()
+    assert [(r.chunk_id, r.collection_name, r.embedding[0]) for r in found] == [("1", "b", 9.0)]
+
+
+@pytest.mark.parametrize("block", [20_000, 6])
+def test_dense_like_a_loop(spark, monkeypatch, block):
+    """Many equal vectors, so that ties are cut by id, in more blocks and passes than one."""
+    monkeypatch.setattr(dense, "SUB", 3)
+    draw = np.random.default_rng(3)
+    vectors = [(f"v{i:03}", ["a", "b"][i % 2], [float(x) for x in draw.integers(-1, 2, 2 + (i % 7 == 0))]) for i in draw.permutation(150)]
+    v = spark.createDataFrame(vectors, "id string, s string, vec array<float>")
+    q = v.filter("id < 'v020'").select(F.col("id").alias("query_id"), "s", F.col("vec").alias("query_vec"))
+    got = {(r.query_id, r["rank"]): (r.id, round(r.cosine, 6)) for r in dense.dense_top_k(q, v.repartition(5), 9, scope="s", block=block).collect()}
+    want = {}
+    for name, scope, x in vectors:
+        if name < "v020":
+            near = []
+            for other, s, y in vectors:
+                if s == scope and len(x) == len(y):
+                    size = float(np.linalg.norm(x) * np.linalg.norm(y))
+                    near.append((-round(float(np.dot(x, y)) / size, 6) if size else 0.0, other))
+            want |= {(name, n + 1): (o, -c) for n, (c, o) in enumerate(sorted(near)[:9])}
+    assert got == want
