@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.text import tokenize
 from lodeline.operators import dense, lexical
-from lodeline.plans import stored
+from lodeline.plans import catalog, stored
 
 
 def made(spark, many=240):
@@ -139,3 +139,10 @@ def test_dense_like_a_loop(spark, monkeypatch, block):
                     near.append((-round(float(np.dot(x, y)) / size, 6) if size else 0.0, other))
             want |= {(name, n + 1): (o, -c) for n, (c, o) in enumerate(sorted(near)[:9])}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["rrf_fuse"])
+def test_search_reads_each_route_once(spark, name):
+    """Both routes of a search keep the best in the tasks that read; neither deals rows out to pairs of blocks nor sums pairs of a query and a document behind an exchange."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and "CoGroups" not in plan and "query_id#" in plan and ", doc#" in plan
