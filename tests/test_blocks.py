@@ -141,7 +141,7 @@ def test_dense_like_a_loop(spark, monkeypatch, block):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["rrf_fuse", "search_rendered"])
+@pytest.mark.parametrize("name", ["rrf_fuse", "search_rendered", "search_topk"])
 def test_search_reads_each_route_once(spark, name):
     """Both routes of a search keep the best in the tasks that read; neither deals rows out to pairs of blocks nor sums pairs of a query and a document behind an exchange."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
