@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +85,46 @@ def tokenize(text: str) -> list[str]:
     return out
 
 
+def _folded_bytes() -> np.ndarray:
+    """For each code point of the basic plane the character of a Latin token that `folded` makes of it, 255 for a CJK character, a space for all others."""
+    out = np.full(0x10000, 32, np.uint8)
+    out[0x3400:0x4DC0] = out[0x4E00:0xA000] = 255
+    for made in "abcdefghijklmnopqrstuvwxyz0123456789._'-":
+        out[[ord(made), ord(made.upper())]] = ord(made)
+    out[0x212A] = ord("k")
+    out[[*map(ord, WIDE)]] = out[[*map(ord, PLAIN)]]
+    return out
+
+
+_BYTES = _folded_bytes()
+_LATIN = re.compile(rb"[a-z0-9]+(?:[._'-][a-z0-9]+)*")
+
+
+def token_lists(texts: pa.Array) -> pa.ListArray:
+    """The tokens of many texts by the rules of `tokens`, as numbers of a dictionary: those of a text together, but CJK characters first, then bigrams, then Latin words. Null gives an empty list."""
+    texts = pc.fill_null(texts, "")
+    for old, new in (("℃", "°c"), ("ß", "ss"), ("İ", "i\u0307")):
+        texts = pc.replace_substring(texts, old, new)
+    points = np.frombuffer("\n".join([*texts.to_pylist(), ""]).encode("utf-32-le"), np.uint32)
+    text = np.repeat(np.arange(len(texts)), pc.utf8_length(texts).to_numpy(zero_copy_only=False) + 1)
+    kind = _BYTES[np.minimum(points, 0xFFFF)]
+    at = np.nonzero(kind == 255)[0]
+    char = points[at].astype(np.int64)
+    pair = np.nonzero(np.diff(at) == 1)[0]
+    latin = [(m.start(), m[0].decode()) for m in _LATIN.finditer(kind.tobytes())]
+    words = pa.array([w for _, w in latin], pa.string()).dictionary_encode()
+    groups = [(at, char), (at[pair], char[pair] << 16 | char[pair + 1]), (np.array([a for a, _ in latin], np.int64), words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + (1 << 32))]
+    counts = [np.bincount(text[place], minlength=len(texts)) for place, _ in groups]
+    ends = np.concatenate([[0], np.cumsum(sum(counts))])
+    codes, start = np.empty(ends[-1], np.int64), ends[:-1]
+    for (place, code), count in zip(groups, counts, strict=True):
+        codes[np.arange(len(code)) + np.repeat(start - (np.cumsum(count) - count), count)] = code
+        start = start + count
+    coded = pa.array(codes).dictionary_encode()
+    names = [chr(c) if c < 1 << 16 else chr(c >> 16) + chr(c & 0xFFFF) if c < 1 << 32 else words.dictionary[c - (1 << 32)].as_py() for c in coded.dictionary.to_pylist()]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.DictionaryArray.from_arrays(coded.indices, pa.array(names, pa.string())))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def tokens_exact(text: pd.Series) -> pd.Series:
     """Tokens by full NFKC and case folding, Arrow-batched."""
