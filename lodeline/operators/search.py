@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodeline.operators.dense import dense_top_k
 from lodeline.operators.fusion import reciprocal_ranks, rerank
 from lodeline.operators.lexical import WordIndex, bm25
+from lodeline.sources.tables import ensure_checkpoint_dir
 
 #: Subject that stands for no restriction.
 GENERAL = "综合"
@@ -24,7 +25,9 @@ def _by_scope(queries: DataFrame, plain: Callable[[DataFrame], DataFrame], scope
 
 
 def routes(queries: DataFrame, index: WordIndex, vectors: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
-    """The dense and the lexical route (query_id, chunk_id, rank, ...) of each query within its collection and namespace, and within its subject if it names one."""
+    """The dense and the lexical route (query_id, chunk_id, rank, ...) of each query within its collection and namespace, and within its subject if it names one. The queries are a stated set that each route reads several times: they are written once. Uses checkpoint()."""
+    ensure_checkpoint_dir(queries.sparkSession)
+    queries = queries.checkpoint()
     rows = vectors.select("collection_name", *(["subject"] if "subject" in vectors.columns else []), F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
 
     def dense(q: DataFrame, scope: list[str]) -> DataFrame:
