@@ -26,6 +26,8 @@ from pyspark.sql.window import Window as W
 SAMPLE, CELL_ROWS, BLOCK_ROWS = 32_768, 2_048, 8_192
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 1.9
+#: Where more than one in so many pairs of a block must be compared exactly, they are compared by one matrix product.
+PAIRWISE = 64
 SEED = 3
 POPCOUNT = np.bitwise_count
 
@@ -108,17 +110,18 @@ def estimate(codes: Codes, query: np.ndarray, centre: np.ndarray, turn: np.ndarr
     low = rest.min(axis=1, keepdims=True)
     step = np.maximum((rest.max(axis=1, keepdims=True) - low) / 15, 1e-12)
     level = np.rint((rest - low) / step).astype(np.uint8)
+    planes = [pack_bits((level >> j) & 1 == 1) for j in range(4)]
     inside = np.zeros((len(query), len(codes.bits)), np.float32)
-    for j in range(4):
-        plane = pack_bits((level >> j) & 1 == 1)
-        for w in range(plane.shape[1]):
-            inside += POPCOUNT(plane[:, w : w + 1] & codes.bits[:, w]) * np.float32(1 << j)
+    for w in range(codes.bits.shape[1]):
+        bits = codes.bits[:, w]
+        low_planes, high_planes = (POPCOUNT(planes[j][:, w : w + 1] & bits) + (POPCOUNT(planes[j + 1][:, w : w + 1] & bits) << 1) for j in (0, 2))  # at most 192 each
+        inside += low_planes
+        inside += high_planes * np.float32(4)
+    scale = codes.norm / codes.fit / np.float32(math.sqrt(dim))
     inside *= 2 * step
-    inside += 2 * low * codes.ones
-    inside -= dim * low + step * level.sum(axis=1, keepdims=True)
-    inside *= codes.norm / codes.fit / math.sqrt(dim)
-    inside += codes.along
-    inside += (query @ centre)[:, None] - np.float32(centre @ centre)
+    inside *= scale
+    of_query = np.concatenate([2 * low, -dim * low - step * level.sum(axis=1, keepdims=True), np.ones_like(low), (query @ centre)[:, None] - np.float32(centre @ centre)], axis=1, dtype=np.float32)
+    inside += of_query @ np.stack([codes.ones * scale, scale, codes.along, np.ones_like(scale)]).astype(np.float32)
     spread = codes.norm * np.sqrt(np.maximum(1 - codes.fit**2, 0)) / codes.fit * (EPSILON / math.sqrt(max(dim - 1, 1)))
     return inside, np.linalg.norm(rest, axis=1)[:, None] * spread
 
@@ -131,32 +134,36 @@ def search_block(data: np.ndarray, query: np.ndarray, same: np.ndarray, centre:
     small, turned = data.astype(np.float32), query.astype(np.float32)
     codes = None if exact_only else encode(small, centre, turn)
     index, value = np.full((len(query), k), -1), np.full((len(query), k), -2.0)
-    first = min(4 * k, len(data))
+    first, take = min(4 * k, len(data)), min(k, len(data))
     for s in range(0, len(query), 256):
         q = turned[s : s + 256]
         own = same[s : s + 256]
         has = np.flatnonzero(own >= 0)
-        if codes is None:
-            exact = q @ small.T
-        else:
-            guess, bound = estimate(codes, q, centre, turn)
-            guess[has, own[has]] = -9
-            seed = np.argpartition(-guess, first - 1, axis=1)[:, :first] if first < len(data) else np.tile(np.arange(first), (len(q), 1))
-            exact = np.full(guess.shape, -2, np.float32)
-            np.put_along_axis(exact, seed, np.einsum("ijd,id->ij", small[seed], q), 1)
-            exact[has, own[has]] = -2
-            kth = -np.partition(-exact, min(k, len(data)) - 1, axis=1)[:, min(k, len(data)) - 1]
-            row, col = np.nonzero((guess + bound >= kth[:, None]) & (exact == -2))
-            for t in range(0, len(row), 65_536):
-                r, c = row[t : t + 65_536], col[t : t + 65_536]
-                exact[r, c] = np.einsum("ij,ij->i", small[c], q[r])
-        exact[has, own[has]] = -2
-        take = min(k, len(data))
-        best = np.argpartition(-exact, take - 1, axis=1)[:, :take] if take < len(data) else np.tile(np.arange(take), (len(q), 1))
-        sharp = np.einsum("ijd,id->ij", data[best], query[s : s + 256])
-        sharp[np.take_along_axis(exact, best, 1) <= -2] = -2
-        index[s : s + 256, :take], value[s : s + 256, :take] = best, sharp
-    index[value <= -2] = -1
+        guess, bound = (q @ small.T, None) if codes is None else estimate(codes, q, centre, turn)
+        guess[has, own[has]] = -9
+        many = take if codes is None else first
+        seed = np.argpartition(guess, len(data) - many, axis=1)[:, len(data) - many :]
+        close = np.take_along_axis(guess, seed, 1) if codes is None else np.einsum("ijd,id->ij", small[seed], q)
+        close[seed == own[:, None]] = -2
+        kth = np.partition(close, many - take, axis=1)[:, many - take, None]
+        row, at = np.nonzero((close >= kth) & (close > -2))
+        col, near = seed[row, at], close[row, at]
+        if codes is not None:
+            bound += guess
+            np.put_along_axis(bound, seed, -9, 1)
+            bound[has, own[has]] = -9
+            more, there = np.divmod(np.flatnonzero(bound >= kth), len(data))
+            product = q @ small.T if len(more) * PAIRWISE > bound.size else None
+            for t in range(0, len(more), 65_536):
+                r, c = more[t : t + 65_536], there[t : t + 65_536]
+                exact = np.einsum("ij,ij->i", small[c], q[r]) if product is None else product[r, c]
+                better = exact >= kth[r, 0]
+                row, col, near = np.concatenate([row, r[better]]), np.concatenate([col, c[better]]), np.concatenate([near, exact[better]])
+        order = np.lexsort((-near, row))
+        row, col = row[order], col[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, rank = row[rank < take], col[rank < take], rank[rank < take]
+        index[s + row, rank], value[s + row, rank] = col, np.einsum("ij,ij->i", data[col], query[s + row])
     return index, value
 
 
