@@ -19,8 +19,14 @@ DIGESTS, KEYS = 1_000_000, 200_000
 
 
 def broadcast_few(rows: DataFrame, most: int = KEYS) -> DataFrame:
-    """Rows to be broadcast if there are at most so many."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    """Rows to be broadcast if there are at most so many. These are fetched at once, so that what they are made from is not read again."""
+    held = rows.limit(most + 1).toArrow()
+    return F.broadcast(rows.sparkSession.createDataFrame(held, rows.schema)) if held.num_rows <= most else rows
+
+
+def in_few_tasks(rows: DataFrame) -> DataFrame:
+    """Rows where they lie, read by two tasks a core at most: each task passes on the best of every query, so more tasks than that only shuffle more."""
+    return rows.coalesce(max(8, 2 * rows.sparkSession.sparkContext.defaultParallelism))
 
 
 def once_and_again(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from lodeline.operators.index import SnapshotStore, fingerprint
 from lodeline.operators.lexical import WordIndex, frequencies, index_documents, sizes_of
 from lodeline.sources.tables import parallelism, shared_dir, table
 
-VERSION = 4
+VERSION = 5
 
 
 def _state(spark: SparkSession, path: str) -> list[str]:
@@ -25,7 +25,7 @@ def word_index(spark: SparkSession, sf_dir: str) -> WordIndex:
     stores = {name: SnapshotStore(spark, f"{root}/{name}") for name in ("documents", "terms")}
     texts = table(spark, sf_dir, "lexical_documents").select("namespace", "chunk_id", "text", "subject", "source")
     if not all(s.is_ready(digest) for s in stores.values()):
-        held = stores["documents"].commit(index_documents(texts, parts=parallelism(spark)), digest)
+        held = stores["documents"].commit(index_documents(texts, parts=parallelism(spark), packed=True), digest)
         stores["terms"].commit(frequencies(held), digest)
     documents = stores["documents"].read(digest)
     return WordIndex(documents, stores["terms"].read(digest), sizes_of(documents), texts)
