@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.operators.blocks import KEYS
 from lodeline.operators.dense import dense_top_k
 from lodeline.operators.fusion import reciprocal_ranks, rerank
 from lodeline.operators.lexical import WordIndex, bm25
@@ -26,8 +27,16 @@ def _by_scope(queries: DataFrame, plain: Callable[[DataFrame], DataFrame], scope
 
 def routes(queries: DataFrame, index: WordIndex, vectors: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
     """The dense and the lexical route (query_id, chunk_id, rank, ...) of each query within its collection and namespace, and within its subject if it names one. The queries are a stated set that each route reads several times: they are written once. Uses checkpoint()."""
+    return _routes(_written(queries), index, vectors, pool)
+
+
+def _written(queries: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(queries.sparkSession)
-    queries = queries.checkpoint()
+    return queries.checkpoint()
+
+
+def _routes(queries: DataFrame, index: WordIndex, vectors: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
+    """As `routes`, of queries that are written."""
     rows = vectors.select("collection_name", *(["subject"] if "subject" in vectors.columns else []), F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
 
     def dense(q: DataFrame, scope: list[str]) -> DataFrame:
@@ -39,9 +48,10 @@ def routes(queries: DataFrame, index: WordIndex, vectors: DataFrame, pool: int)
     return near, words.select("query_id", "chunk_id", "bm25", "rank")
 
 
-def bodies(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ranked chunks with subject, source and text of their document (of the first namespace that has it): only documents that were found are read further."""
-    held = documents.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min_by(F.struct("subject", "source", "text"), "namespace").alias("d"))
+def bodies(found: DataFrame, documents: DataFrame, few: bool = False) -> DataFrame:
+    """Ranked chunks with subject, source and text of their document (of the first namespace that has it): only documents that were found are read further. `few` says that what was found can be sent to every task, so that texts are not shuffled to find theirs."""
+    ids = found.select("chunk_id").distinct()
+    held = documents.join(F.broadcast(ids) if few else ids, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min_by(F.struct("subject", "source", "text"), "namespace").alias("d"))
     return found.join(held, "chunk_id", "left").select(*found.columns, "d.subject", "d.source", "d.text")
 
 
@@ -62,14 +72,15 @@ def search(
             raise RuntimeError("the index is not ready")
 
     check()
-    near, words = routes(queries, index, vectors, max(candidates, pool))
+    queries = _written(queries)
+    near, words = _routes(queries, index, vectors, max(candidates, pool))
     check()
     fused = reciprocal_ranks([near.select("query_id", "chunk_id", "rank"), words.select("query_id", "chunk_id", "rank")], list(weights), candidates, constant)
     if answers is None:
         kept = fused.filter(F.col("rank") <= k)
     else:
         kept = rerank(fused, answers, k, "rrf_score").select("query_id", "chunk_id", "rrf_score", F.col("final_rank").alias("rank"))
-    return bodies(kept, index.texts).select("query_id", "rank", "chunk_id", "rrf_score", "subject", "source", "text")
+    return bodies(kept, index.texts, k * queries.count() <= KEYS).select("query_id", "rank", "chunk_id", "rrf_score", "subject", "source", "text")
 
 
 def render(found: DataFrame) -> DataFrame:

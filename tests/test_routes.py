@@ -71,3 +71,17 @@ def test_stored_terms_are_one_text(spark, tmp_path):
     assert sorted(((r.namespace, r.subject or "", r.term, r.df) for r in held.terms.collect())) == [("m", "x", "b", 1), ("n", "", "b", 1), ("n", "x", "a", 1), ("n", "x", "b", 1), ("n", "x", "角", 1)]
     asked = spark.createDataFrame([("q", "n", "b 角")], "query_id string, namespace string, query string")
     assert [r.chunk_id for r in lexical.bm25(asked, held, 5).orderBy("rank").collect()] == ["1", "4"]
+
+
+def test_texts_stay_where_they_lie(spark):
+    """search_rendered: texts of documents that were not found are not shuffled to look for those that were; a chunk without a document stays."""
+    docs = spark.range(1, 400).select(F.lit("n").alias("namespace"), F.col("id").cast("string").alias("chunk_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" long"), 1_000)).alias("text"), F.lit("x").alias("subject"), F.lit("f").alias("source"))
+    vectors = spark.range(400).select(F.lit("c").alias("collection_name"), F.col("id").cast("string").alias("chunk_id"), F.array(F.lit(1.0), F.col("id").cast("double")).cast("array<float>").alias("embedding"))
+    queries = spark.createDataFrame([(1, "n", "c", "7", [1.0, 0.0])], "query_id int, namespace string, collection_name string, query string, query_vec array<float>")
+    index = lexical.word_index(docs)
+    index.packed, index.terms, index.sizes = (df.checkpoint() for df in (index.packed, index.terms, index.sizes))
+    df = search.search(queries, index, vectors)
+    rows = {r.chunk_id: r.text for r in df.collect()}
+    assert len(rows) == 5 and rows["0"] is None and rows["1"].startswith("1 long")
+    assert shuffled(df, "dataSize") < 500_000  # bytes, of 2 000 000
+    assert {r.chunk_id: r.text for r in search.bodies(df.select("query_id", "chunk_id", "rank"), docs).collect()} == rows
